@@ -12,10 +12,11 @@ from .pii import op1_pii
 from .quality import op3_quality
 from .secrets import op2_secrets
 from .sharding import op10_sharding
+from .simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_secrets, op3_quality, op5_bpe, op7_mixing, op10_sharding]
+    found = [op1_pii, op2_secrets, op3_quality, op5_bpe, op7_mixing, op8_simhash, op10_sharding]
     return {f.__name__: f for f in found}
 
 
