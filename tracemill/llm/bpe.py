@@ -22,7 +22,7 @@ from .common import documents
 class Vocabulary:
     """Ranks of a tokenizer file: lines of a base64 token and its rank. It must hold all 256 single bytes."""
 
-    def __init__(self, path: str, pattern: str, most_pieces: int = 250_000):
+    def __init__(self, path: str, pattern: str, most_pieces: int = 600_000):
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
@@ -124,22 +124,30 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, bytearray(), [-1]
         self.append(data)
 
-    def _entry(self, data: bytes, shift: int, end: int) -> int:
-        """data holds the bytes from shift on."""
-        rank, follow, last = self.vocabulary.ranks.get, self.vocabulary.may_follow, self.last
-        for start in range(max(0, end - self.vocabulary.longest), end):
-            token = rank(data[start - shift : end - shift])
-            if token is not None and follow(last[start], token):
-                return token
-        raise ValueError("the vocabulary lacks a single byte")
+    def _extend(self, data: bytes, shift: int, end: int, stop: int) -> None:
+        """Entries for the prefixes of end .. stop bytes; data holds the bytes from shift on."""
+        v, last = self.vocabulary, self.last
+        rank, known, longest, size, made = v.ranks.get, v.follows.get, v.longest, len(v.tokens), v.made
+        for end in range(end, stop + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = rank(data[start - shift : end - shift])
+                if token is None:
+                    continue
+                before = last[start]
+                follows = made[token] if before < 0 else known(before * size + token)
+                if follows is None:
+                    follows = v.may_follow(before, token)
+                if follows:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
 
     def append(self, data: bytes) -> None:
         begin = len(self.data)
         shift = max(0, begin - self.vocabulary.longest)
         self.data += data
-        seen = bytes(self.data[shift:])
-        for end in range(begin + 1, begin + len(data) + 1):
-            self.last.append(self._entry(seen, shift, end))
+        self._extend(bytes(self.data[shift:]) if shift else bytes(self.data), shift, begin + 1, len(self.data))
 
     def cut(self, length: int) -> None:
         del self.data[length:], self.last[length + 1 :]
@@ -151,10 +159,9 @@ class PrefixTable:
         self.last = old[: start + 1]
         settled, need, done, seen = 0, self.vocabulary.longest, 0, bytes(self.data)
         for at in range(start + 1, len(self.data) + 1):
-            token = self._entry(seen, 0, at)
-            self.last.append(token)
+            self._extend(seen, 0, at, at)
             done += 1
-            settled = settled + 1 if at > start + len(data) and old[at - moved] == token else 0
+            settled = settled + 1 if at > start + len(data) and old[at - moved] == self.last[at] else 0
             if settled >= need:  # later entries look back no further, so they run as before
                 self.last += old[at - moved + 1 :]
                 break

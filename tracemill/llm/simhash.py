@@ -131,18 +131,27 @@ def _part(fp: Column, bits: list[int]) -> Column:
     return value
 
 
+def _entries(value: Column, part: int, flips: list[int]) -> Column:
+    def row(v: Column, probe: bool) -> Column:
+        return F.struct(F.lit(part).alias("part"), v.alias("value"), F.lit(probe).alias("probe"))
+
+    own = F.array(row(value, False))
+    if not flips:
+        return own
+    sets = F.array(
+        *[
+            F.struct(F.lit(m).cast("long").alias("m"), F.lit(1 << (m.bit_length() - 1)).cast("long").alias("top"))
+            for m in flips
+        ]
+    )
+    free = F.filter(sets, lambda x: value.bitwiseAND(x["top"]) == 0)
+    return F.concat(own, F.transform(free, lambda x: row(value.bitwiseXOR(x["m"]), True)))
+
+
 def _records(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """(part, value, fp, probe). Of two values that differ, the one with the highest differing bit 0 probes the other."""
     valued = fps.select("fp", *[_part(F.col("fp"), g).alias(f"__v{i}") for i, (g, _) in enumerate(parts)])
-    entries = []
-    for i, (g, t) in enumerate(parts):
-        v = F.col(f"__v{i}")
-        row = lambda value, probe, i=i: F.struct(F.lit(i).alias("part"), value.alias("value"), F.lit(probe).alias("probe"))
-        entries.append(F.array(row(v, False)))
-        if t:
-            m = F.array(*[F.struct(F.lit(x).cast("long").alias("m"), F.lit(1 << (x.bit_length() - 1)).cast("long").alias("top")) for x in masks(len(g), t)])
-            free = F.filter(m, lambda x, v=v: v.bitwiseAND(x["top"]) == 0)
-            entries.append(F.transform(free, lambda x, v=v, row=row: row(v.bitwiseXOR(x["m"]), True)))
+    entries = [_entries(F.col(f"__v{i}"), i, masks(len(g), t)) for i, (g, t) in enumerate(parts)]
     return valued.select("fp", F.explode(F.concat(*entries)).alias("r")).select("fp", "r.part", "r.value", "r.probe")
 
 
