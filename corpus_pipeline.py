@@ -1,6 +1,68 @@
-STAGES = []
+"""The corpus pipeline: each stage calls one corpus operator on all that its predecessor kept.
+
+Stages are written as Parquet and read again, so that a lost executor costs no more than its own tasks. Nulls, empty
+texts, repeated rows and empty tables have the result that the operator of each stage defines.
+"""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.llm import bpe, mixing, pii, quality, simhash
+from tracemill.llm.common import checkpoint_folder, documents
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the risk-controlled cutoffs keep."""
+    cutoffs = quality.fit(quality.features(docs, ["doc_id", "lang"]), quality.labels_of(spark, sf_dir))
+    return quality.judge(quality.features(docs, COLUMNS), cutoffs).filter("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words a shingle, at most four differing bits."""
+    return simhash.keep_one(docs.select(*COLUMNS), shingle=5, limit=4)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced; n_chars follows the text."""
+    docs = docs.select(*COLUMNS)
+    return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per pass that the mix takes, in training order; a pass that is cut has its first words only."""
+    return mixing.taken_texts(mixing.curriculum(mixing.mix(docs.select(*COLUMNS)))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with their digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    return bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
+    ("tokens", tokens),
+]
+#: None of the stages can be stated in SQL; tests hold the pipeline against plain definitions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; the last one's rows."""
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

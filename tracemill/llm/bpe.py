@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
 class Vocabulary:
     """Ranks of a tokenizer file: lines of a base64 token and its rank. It must hold all 256 single bytes."""
 
@@ -222,5 +225,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    path = public_tokenizers.path(TOKENIZER)
     return encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)

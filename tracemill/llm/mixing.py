@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, repeat_salt, running_start, settle, word_count
+from .common import GAP, WORD, documents, repeat_salt, running_start, settle, word_count
 
 _OWN = ["__size", "__h", "__b", "__salt", "__start"]
 
@@ -151,6 +151,18 @@ def curriculum(mixed: DataFrame) -> DataFrame:
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def taken_texts(passes: DataFrame) -> DataFrame:
+    """The texts cut to the words that their passes take; whole passes keep their text as it is.
+
+    passes: rows of curriculum with a column text. Null texts have no words, so no pass takes them.
+    """
+    words = F.regexp_extract_all("text", F.lit(f"{GAP[:-1]}*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
+    return passes.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     out = out.repartitionByRange(F.col("due_1").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(
