@@ -216,6 +216,8 @@ def _rows(shards: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> pa.Recor
 
 
 _RUN = "shard int, n long, run binary"
+#: What count_pairs counts for words, by number; the number after them marks a shard's statistics.
+_KINDS = ["n1", "n2", "n3", "kinds"]
 
 
 def _read(pdf: pd.DataFrame, values: int) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
@@ -278,6 +280,10 @@ def count_pairs(train: DataFrame, model: Model, block: int) -> tuple[Model, Data
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iat[0])
+        pdf = pdf[pdf["n"] > 0]
+        if pdf.empty:
+            save(model.folder, f"pair-{shard}", np.zeros(0, np.uint64))
+            return pd.DataFrame({"shard": [], "n": [], "run": [], "kind": []})
         keys, found = _read(pdf, 1)
         pairs, counts = merged(keys, [f[0] for f in found])
         save(model.folder, f"pair-{shard}", pairs)
@@ -285,27 +291,31 @@ def count_pairs(train: DataFrame, model: Model, block: int) -> tuple[Model, Data
         save(model.folder, f"pair_count-{shard}", kept)
         first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
         out = []
-        for kind, words, weights in [
-            *((f"n{i}", first, counts == i if i < 3 else counts >= 3) for i in (1, 2, 3)),
-            ("kinds", second, np.ones(len(pairs), bool)),
-        ]:
+        for kind, (words, weights) in enumerate([
+            *((first, counts == i if i < 3 else counts >= 3) for i in (1, 2, 3)),
+            (second, np.ones(len(pairs), bool)),
+        ]):
             words, n = np.unique(words[weights], return_counts=True)
             if len(words):
                 batch = _rows(np.searchsorted(model.offsets, words, side="right") - 1, words, n)
                 out.append(batch.to_pandas().assign(kind=kind))
         seen = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
         stats = np.array([*seen, len(pairs)], "<i8").tobytes()
-        out.append(pd.DataFrame({"shard": [-1], "n": [5], "run": [stats], "kind": ["stats"]}))
+        out.append(pd.DataFrame({"shard": [-1], "n": [5], "run": [stats], "kind": [len(_KINDS)]}))
         return pd.concat(out)
 
-    runs = train.select("text").mapInArrow(run, _RUN)
-    return runs.groupBy("shard").applyInPandas(merge, _RUN + ", kind string")
+    # one empty run for each shard, so that shards without a pair are written too
+    every = train.sparkSession.range(model.shards, numPartitions=1).select(
+        F.col("id").cast("int").alias("shard"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("run")
+    )
+    runs = train.select("text").mapInArrow(run, _RUN).union(every)
+    return runs.groupBy("shard").applyInPandas(merge, _RUN + ", kind int")
 
 
 def sum_words(parts: DataFrame, model: Model) -> tuple[list[int], list[int], tuple]:
     """Adds up count_pairs' runs by vocabulary shard. Returns how many pairs occur 1, 2, 3, 4 times and in all, how
     many words follow 1, 2, 3, 4 and three or more others and how many in all they follow, and the starts."""
-    names = ["n1", "n2", "n3", "kinds"]
+    names = _KINDS
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iat[0])
@@ -316,9 +326,9 @@ def sum_words(parts: DataFrame, model: Model) -> tuple[list[int], list[int], tup
         first = model.offsets[shard]
         size = model.offsets[shard + 1] - first if shard < parts else 2
         sums = {}
-        for name in names:
+        for kind, name in enumerate(names):
             sums[name] = np.zeros(size, np.int64)
-            keys, found = _read(pdf[pdf["kind"] == name], 1)
+            keys, found = _read(pdf[pdf["kind"] == kind], 1)
             for k, f in zip(keys, found):
                 sums[name][k.astype(np.int64) - first] += f[0]
             if shard < parts:
@@ -362,8 +372,6 @@ def fit(train: DataFrame, shard_tokens: int = 2_000_000, block: int = 1_000_000,
     model = Model(folder, model.offsets, shards, model.tokens)
     pairs, words, starts = sum_words(count_pairs(train, model, block), model)
     docs = train.count()
-    for s in range(shards if not model.tokens else 0):
-        save(folder, f"pair-{s}", np.zeros(0, np.uint64))
     return Model(
         folder, model.offsets, shards, model.tokens, (docs, *starts), discounts(pairs), discounts(words), pairs[4],
         (words[0], words[1], words[4]),
