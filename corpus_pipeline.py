@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import bpe, mixing, pii, quality, simhash
-from tracemill.llm.common import checkpoint_folder, documents
+from tracemill.llm.common import checkpoint_folder, documents, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the risk-controlled cutoffs keep."""
-    cutoffs = quality.fit(quality.features(docs, ["doc_id", "lang"]), quality.labels_of(spark, sf_dir))
-    return quality.judge(quality.features(docs, COLUMNS), cutoffs).filter("kept").select(*COLUMNS)
+    narrow = settle(quality.features(docs, ["doc_id", "lang"]))
+    cutoffs = quality.fit(narrow, quality.labels_of(spark, sf_dir))
+    # a row number is not deterministic, so the filter stays above the counts and they are worked out once a row
+    featured = quality.features(docs, COLUMNS).withColumn("__row", F.monotonically_increasing_id())
+    return quality.judge(featured, cutoffs).filter(F.col("kept") & (F.col("__row") >= 0)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
