@@ -173,17 +173,21 @@ def forest(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.nda
     return left[differ], right[differ]
 
 
-def links(fps: DataFrame, limit: int = 4, sample_rows: int = 20_000, bucket: int = 256, block: int = 768) -> DataFrame:
+def links(
+    fps: DataFrame, limit: int = 4, sample_rows: int = 20_000, plan_rows: int = 1_000_000, bucket: int = 256, block: int = 768
+) -> DataFrame:
     """(a, b): links enough that their components are those of all pairs of fps that differ in at most limit bits.
 
-    fps: distinct fingerprints, as a checkpoint or scan. sample_rows bounds the sample that estimates costs; bucket is
+    fps: distinct fingerprints, as a checkpoint or scan. sample_rows bounds the sample that estimates costs. The
+    thresholds are planned for a corpus of plan_rows fingerprints, whatever fps holds, so that a fingerprint has as many
+    entries in a small corpus as in a large one; more rows per plan mean fewer, wider parts and more probes. bucket is
     the largest that is joined pair by pair, block the largest that a task compares with another at once.
     """
     rows = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()  # bounded
     if rows < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    parts = allotted(np.array([r[0] for r in sample], np.int64), rows, limit)
+    parts = allotted(np.array([r[0] for r in sample], np.int64), plan_rows, limit)
     records = settle(_records(fps, parts))
     sizes = records.groupBy("part", "value").agg(
         F.count_if(~F.col("probe")).alias("__idx"), F.count(F.lit(1)).alias("__all")
