@@ -19,7 +19,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node that edges (a, b) name, root being the least node of its component.
 
     Large stars tie each node's larger neighbours to its least one, small stars the smaller ones; both keep the
-    components. The edges never grow beyond two for each first edge. Ends when nothing changes.
+    components. The edges never grow beyond two for each first edge. Ends when nothing changes; an error if that
+    takes more than `rounds` rounds.
     """
     edges = settle(
         edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -38,6 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     own = edges.join(roots.select(F.col("node").alias("__n")), F.col("v") == F.col("__n"), "left_anti")
     own = own.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
