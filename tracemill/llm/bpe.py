@@ -33,6 +33,12 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
+        #: By the last two bytes, the lengths of the tokens that end so, longest first, and the one byte.
+        found: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            if len(token) > 1:
+                found.setdefault(token[-2:], {1}).add(len(token))
+        self.lengths = {tail: sorted(sizes, reverse=True) for tail, sizes in found.items()}
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
         self.most_pieces = most_pieces
@@ -130,9 +136,12 @@ class PrefixTable:
     def _extend(self, data: bytes, shift: int, end: int, stop: int) -> None:
         """Entries for the prefixes of end .. stop bytes; data holds the bytes from shift on."""
         v, last = self.vocabulary, self.last
-        rank, known, longest, size, made = v.ranks.get, v.follows.get, v.longest, len(v.tokens), v.made
+        rank, known, lengths, size, made = v.ranks.get, v.follows.get, v.lengths.get, len(v.tokens), v.made
         for end in range(end, stop + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for length in lengths(data[max(0, end - 2 - shift) : end - shift], (1,)):
+                start = end - length
+                if start < 0:
+                    continue
                 token = rank(data[start - shift : end - shift])
                 if token is None:
                     continue
