@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, mixing, pii, quality, simhash
+from tracemill.llm import bpe, mixing, pii, quality, similar
 from tracemill.llm.common import checkpoint_folder, documents, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words a shingle, at most four differing bits."""
-    return simhash.keep_one(docs.select(*COLUMNS), shingle=5, limit=4)
+    """One document of each group of near-duplicates: five words a shingle, Jaccard 0.8 or at most four differing bits."""
+    return similar.keep_one(docs.select(*COLUMNS), shingle=5, limit=4, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tracemill.llm import ann, bpe, html, lm, mixing, pii, quality, queries, secrets, sharding, simhash
+from tracemill.llm import ann, bpe, html, lm, mixing, pii, quality, queries, secrets, sharding, similar, simhash
 
 SF = "/root/testdata/sf0.001"
 AWKWARD = [
@@ -307,6 +307,50 @@ def test_pipeline(spark, awkward):
             assert not any(brute.pii(text)[0]) and r["n_tokens"] == len(r["ids"])
 
 
+def test_similar_catches_all_pairs_of_jaccard_four_fifths(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(60, 400))]
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.integers(0, len(base), max(1, int(len(base) * rng.choice([0.005, 0.01, 0.02, 0.03])))):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(None, rows[0][1]), (len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, rows[7][1] + "\n" + rows[7][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    grams = []
+    for _, t in rows:
+        w = brute.words(t)
+        grams.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    prints = [simhash.fingerprint(t, 5) & 2**64 - 1 for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            bits = (prints[a] ^ prints[b]).bit_count()
+            near = grams[a] and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])
+            far += bool(near and bits > 4)
+            if near or bits <= 4:
+                root[find(a)] = find(b)
+    assert far > 20  # pairs that SimHash alone misses
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        least[find(k)].append((i is None, i))
+    want = [(min(x)[1],) for x in least.values()]
+    for block in (256, 2):
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        one = similar.grouped(docs.filter("doc_id IS NOT NULL"), block=block).select("component_id").distinct()
+        same(one.collect(), want)
+    same(similar.keep_one(spark.read.parquet(f"{tmp_path}/docs")).select("doc_id").collect(), want)
+
+
 def test_every_query_is_named():
     assert sorted(queries.queries()) == sorted(
         "op1_pii op2_secrets op3_quality op4_html op5_bpe op6_lm op7_mixing op8_simhash op9_ann op10_sharding".split()

@@ -248,26 +248,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFr
     return marked.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, limit: int = 4) -> DataFrame:
-    """One whole row of each component: that of the least doc_id, null last; of its rows the first by place.
-
-    docs has to be read straight from Parquet files: a row is known by its file and its number there. Null texts and
-    texts without words are one component. Empty input: no rows. All columns stay.
-    """
-    place = [
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
-        F.col("_metadata.row_index").alias("row"),
-    ]
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *place)
-    grouped = near_duplicates(docs.select(first.alias("doc_id"), "text"), shingle, limit)
-    kept = grouped.filter(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id.file").alias("__file"), F.col("doc_id.row").alias("__row")
-    )
-    placed = docs.select("*", place[0].alias("__f"), place[1].alias("__r"))
-    on = (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row"))
-    return placed.join(kept, on, "left_semi").drop("__f", "__r")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir), shingle=4, limit=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
