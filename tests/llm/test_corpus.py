@@ -106,6 +106,14 @@ def test_html():
     assert rows[0].index("bb") == rows[1].index("d")
 
 
+def test_html_head_without_an_end():
+    assert html.to_text("<head><title>T</title>Hello <a>x</a><p>y").split() == ["Hello", "x", "y"]
+    assert html.to_text("<head><title>T</title>\n<font><p>Text</font> more").split() == ["Text", "more"]
+    assert html.to_text("<head><meta name=a>\n<link href=b><style>x</style><img alt=pic> z").split() == ["pic", "z"]
+    assert html.to_text("<html><head><title>T</title></head><body>a<b>c</b></body></html>") == "ac"
+    assert html.title_of(html.parse("<head> <title>T</title>a")) == "T"
+
+
 def test_html_query(spark, awkward):
     assert html.op4_html(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert html.op4_html(spark, f"{awkward}/none").count() == 0

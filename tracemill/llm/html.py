@@ -43,6 +43,8 @@ CLOSES = {
 }
 #: What an inline end tag does not reach beyond.
 _SCOPE = set("td th table caption li button body html".split())
+#: What may stand in a head; any other tag, and text, ends it.
+_IN_HEAD = set("title meta link base basefont bgsound style script noscript noframes template head".split())
 #: What a tag stands in, if it is not there: row parts in a row, rows in a table.
 _NEEDS = {"td": "tr", "th": "tr"}
 
@@ -53,6 +55,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_BLANK = re.compile(r"[ \t\n\r\f]*")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -70,6 +73,12 @@ def parse(html: str) -> Node:
     at, end = 0, len(html)
     lower = None
 
+    def end_head() -> None:
+        """Text or a tag that no head holds closes an open head and begins the body."""
+        if stack[-1].tag == "head":
+            stack.pop()
+            put("body")
+
     def put(tag: str, attributes: dict[str, str] | None = None) -> Node:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
@@ -92,9 +101,13 @@ def parse(html: str) -> Node:
             break
         at = m.end()
         if m[4] is not None:
+            if not _BLANK.fullmatch(m[4]):
+                end_head()
             stack[-1].children.append(m[4])
         elif m[1] is not None:
             tag = m[1].lower()
+            if tag in ("br", "p"):
+                end_head()
             if tag == "br":
                 stack[-1].children.append(Node("br"))
             elif tag == "p" and not any(n.tag == "p" for n in stack[-64:]):
@@ -122,10 +135,10 @@ def parse(html: str) -> Node:
                     close({"head"}, set())
                     put("body", attributes)
                 continue
+            if tag not in _IN_HEAD:
+                end_head()
             if tag in _ENDS_P:
                 close({"p"}, _SCOPE)
-            if tag in BLOCK and stack[-1].tag == "head":
-                stack.pop()
             if tag in CLOSES:
                 close(*CLOSES[tag])
             if tag in _NEEDS and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
