@@ -114,6 +114,16 @@ def test_html_head_without_an_end():
     assert html.title_of(html.parse("<head> <title>T</title>a")) == "T"
 
 
+def test_html_closes_at_any_depth():
+    deep = "<b>x" * 2000
+    for start, end in (("<div hidden>", "</div>"), ("<div style='display:none'>", "</div>"), ("<details>", "</details>")):
+        assert html.to_text(f"{start}{deep}{end}after") == "after"
+    assert html.to_text(f"<ul><li>{'<b>' * 2000}x<li>y</ul>").split("\n") == ["- x", "- y"]
+    assert html.to_text(f"<p hidden>{deep}</p>after") == "after"
+    rows = html.to_text(f"<table><tr><td>{'<b>' * 2000}a<td>b<tr><td>c<td>d</table>z").split("\n")
+    assert rows == ["a  b", "c  d", "", "z"]
+
+
 def test_html_query(spark, awkward):
     assert html.op4_html(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert html.op4_html(spark, f"{awkward}/none").count() == 0

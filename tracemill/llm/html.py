@@ -6,6 +6,8 @@ Nothing here recurses and no step looks at a text twice, so deep or long pages t
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -70,30 +72,38 @@ def parse(html: str) -> Node:
     """The tree. Text is a plain string among a node's children."""
     root = Node("html")
     stack = [root]
+    opened: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag stands, outermost first
     at, end = 0, len(html)
     lower = None
 
     def end_head() -> None:
         """Text or a tag that no head holds closes an open head and begins the body."""
         if stack[-1].tag == "head":
-            stack.pop()
+            cut(len(stack) - 1)
             put("body")
 
     def put(tag: str, attributes: dict[str, str] | None = None) -> Node:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        opened[tag].append(len(stack))
         stack.append(node)
         return node
 
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            opened[stack.pop().tag].pop()
+
+    def innermost(tags: set[str]) -> int:
+        """The last place of any of tags; 0 if none is open."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close(tags: set[str], within: set[str]) -> None:
         """Closes the innermost of tags, and again, while it stands inside the nearest of within."""
-        depth = len(stack)
-        for i in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-            if stack[i].tag in within:
-                break
-            if stack[i].tag in tags:
-                depth = i
-        del stack[max(1, depth) :]
+        barrier, depth = innermost(within), len(stack)
+        for t in tags:
+            if opened.get(t) and opened[t][-1] > barrier:
+                depth = min(depth, opened[t][bisect(opened[t], barrier)])
+        cut(depth)
 
     while at < end:
         m = _TOKEN.match(html, at)
@@ -110,18 +120,16 @@ def parse(html: str) -> Node:
                 end_head()
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in stack[-64:]):
+            elif tag == "p" and not opened.get("p"):
                 stack[-1].children.append(Node("p"))
             elif tag not in VOID and tag not in ("html", "body"):
                 stop = set() if tag in BLOCK or tag in _SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else _SCOPE
                 if tag not in ("table",) and tag in CLOSES:
                     stop = CLOSES[tag][1]
-                for i in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in stop or (stack[i].tag == "table" and tag not in ("table", "div", "form", "section", "article", "main")):
-                        break
+                if tag not in ("table", "div", "form", "section", "article", "main"):
+                    stop = stop | _TABLE
+                if opened.get(tag) and opened[tag][-1] >= innermost(stop):
+                    cut(opened[tag][-1])
         elif m[2] is not None:
             tag = m[2].lower()
             attributes = {}
@@ -145,13 +153,13 @@ def parse(html: str) -> Node:
                 put(_NEEDS[tag])
             node = put(tag, attributes)
             if tag in VOID or (m[3].endswith("/") and tag in ("svg", "math", "path")):
-                stack.pop()
+                cut(len(stack) - 1)
             elif tag in RAW or tag == "plaintext":
                 lower = html.lower() if lower is None and len(html.lower()) == len(html) else lower
                 where = lower.find(f"</{tag}", at) if lower is not None else _find(html, tag, at)
                 stop = end if where < 0 or tag == "plaintext" else where
                 node.children.append(html[at:stop])
-                stack.pop()
+                cut(len(stack) - 1)
                 shut = html.find(">", stop)
                 at = end if shut < 0 or stop == end else shut + 1
     return root
