@@ -42,3 +42,13 @@ def test_query(spark, duck, name):
         assert a == pytest.approx(b) if all(isinstance(x, float) for x in a) else all(
             x == pytest.approx(y, abs=2e-5) if isinstance(x, float) and isinstance(y, (int, float)) else x == y for x, y in zip(a, b)
         ), (a, b)
+
+
+def test_question_overlap_is_by_normalized_text_or_prefix(spark, tmp_path):
+    long = "What  is the\nsum of all whole numbers from one to one hundred, and why is it so?"
+    docs = [(1, "HOW many\t apples "), (2, long[:66] + " another end"), (3, "x how many apples"), (4, None), (5, " "), (6, long.lower())]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    questions = [("how many apples",), (long,), (None,), ("",)]
+    spark.createDataFrame(questions, "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = own.QUERIES["j12_question_overlap"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 6]

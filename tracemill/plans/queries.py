@@ -219,6 +219,20 @@ def containment(d, b):
     return d.select("doc_id", "text").join(near, F.contains("text", F.col("__q")), "left_semi").select("doc_id")
 
 
+_NORMAL = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+
+
+@query("j12_question_overlap", "documents", "benchmark", sql=f"WITH q AS (SELECT {_NORMAL} AS k FROM benchmark), s AS (SELECT k FROM q UNION SELECT left(k, 60) FROM q), d AS (SELECT doc_id, {_NORMAL} AS k FROM documents) SELECT doc_id FROM d WHERE k <> '' AND (k IN (SELECT k FROM s WHERE k <> '') OR left(k, 60) IN (SELECT k FROM s WHERE k <> ''))")
+def question_overlap(d, b):
+    """Documents whose normalized text, or its 60-character prefix, equals a held-out question or its prefix."""
+    q = b.select(text.normalized(F.col("text")).alias("k"))
+    keys = q.union(q.select(F.left("k", F.lit(60)))).filter("k <> ''").distinct().select(F.col("k").alias("__k"))
+    own = d.select("doc_id", text.normalized(F.col("text")).alias("k")).filter("k <> ''")
+    own = own.withColumn("__row", F.monotonically_increasing_id())
+    own = own.select("doc_id", "__row", F.explode(F.array_distinct(F.array("k", F.left("k", F.lit(60))))).alias("k"))
+    return own.join(keys, F.col("k") == F.col("__k"), "left_semi").dropDuplicates(["__row"]).select("doc_id")
+
+
 @query("j13_paired", "events", sql=_TRIES + ", p AS (SELECT user_id, bool_or(correct) FILTER (pos < 4) AS a, bool_or(correct) FILTER (pos BETWEEN 4 AND 7) AS b FROM t GROUP BY user_id) SELECT count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (b AND NOT a) AS gained FROM p")
 def paired(e):
     t = evals.first_tries(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", 8)
