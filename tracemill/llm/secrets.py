@@ -1,11 +1,13 @@
 """Secrets by a battery of randomness tests, in DataFrame operations only.
 
-A candidate is a long run of the characters of keys. Its encoding is inferred from the characters it uses; under that
-alphabet, a chi-squared test of uniformity, a runs test about the alphabet's middle and a test of the correlation of
-neighbours say how well it agrees with being drawn at random. What ordinary writing would reach at the same length is
-learnt from decoys: for each candidate as many letters of the text before or after it, tested alike. Within classes of
-length a candidate's p-value is the share of decoys that look as random as it does, and the Benjamini-Hochberg rule
-over all candidates of the corpus bounds the share of false discoveries.
+A candidate is any run of 16 or more characters of keys. Its encoding is inferred from the characters it uses; under
+that alphabet, a chi-squared test of uniformity, a runs test about the alphabet's middle and a test of the correlation
+of neighbours say how well it agrees with being drawn at random. At these lengths their normal approximations are
+coarse, so they only rank: what counts is what ordinary writing reaches under the same alphabet and at the same length.
+That null is learnt from decoys, for each candidate the text around it put as an identifier, slug or path of its
+encoding, and tested alike. Within a class of encoding and length a candidate's p-value is the share of decoys that look
+as random as it does, and the Benjamini-Hochberg rule over all candidates of the corpus bounds the share of false
+discoveries.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from string import digits as DIGITS
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, text_or_empty, unused
 from .spans import SPANS, apart, found, let, replaced, text_of
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -46,6 +48,9 @@ ENCODINGS = {
 }
 #: Lengths from which a class of its own begins, and how finely -log10 of the battery's p-value is told apart.
 LENGTHS = [16, 20, 24, 32, 40, 56, 80]
+#: Characters of the text on either side that decoys may be made of, decoys for a candidate at the most, and how many a
+#: null distribution needs.
+AROUND, DECOYS, ENOUGH = 600, 12, 100
 FINE, DEEP = 5, 60
 
 
@@ -115,70 +120,101 @@ def strict_spans(text: Column) -> Column:
     return F.concat(assign, access, found(text, STRICT[HEX], HEX, text.rlike(STRICT[HEX])))
 
 
-_FOUND = "array<struct<start:int,end:int,len:int,score:int,decoy:int>>"
+_FOUND = "array<struct<start:int,end:int,class:int,score:int,decoys:array<int>>>"
 
 
-def _score(s: Column) -> Column:
-    p = let(encoding(s), lambda a: battery(s, a))
-    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-13))) * FINE), F.lit(DEEP)).cast("int")
+def _score(s: Column, alphabet: Column) -> Column:
+    return F.least(F.floor(-F.log10(F.greatest(battery(s, alphabet), F.lit(1e-13))) * FINE), F.lit(DEEP)).cast("int")
 
 
-def candidates(text: Column) -> Column:
-    """Runs that may be keys, with their score and their decoy's: the smaller, the more like random characters."""
-    worth = text.rlike("[A-Za-z0-9+/_-]{16}")
-    keys = lambda s: s["m"].rlike("[0-9]") | s["m"].rlike("[a-z][A-Z]")
-    spans = F.filter(found(text, _RUN, RANDOM, worth), keys)
+def _prose(around: Column, alphabet: Column) -> Column:
+    """The words of a text as an identifier, slug or path in the alphabet: its letters in the alphabet's case, what parts
+    words as - or / where the alphabet has it, all else left out."""
+    out = F.lit("")
+    for letters in reversed(list(ENCODINGS.values())):
+        small, large = "z" in letters or "f" in letters, "Z" in letters or "F" in letters
+        text = F.initcap(around) if small and large else F.upper(around) if large else F.lower(around)
+        if "-" in letters or "/" in letters:
+            text = F.regexp_replace(text, r"\s+", "-" if "-" in letters else "/")
+        allowed = letters.replace("-", "") + "-" * ("-" in letters)
+        out = F.when(alphabet == letters, F.regexp_replace(text, f"[^{allowed}]", "")).otherwise(out)
+    return out
+
+
+def _length_class(n: Column) -> Column:
+    return sum((F.when(n >= k, 1).otherwise(0) for k in LENGTHS[1:]), F.lit(0))
+
+
+def candidates(text: Column, decoys: int = 0) -> Column:
+    """Runs that may be keys: their class of encoding and length, and their score and their decoys'; the smaller, the
+    more like random characters. Fewer decoys than asked for where the text around is too short."""
+    order = list(ENCODINGS.values())
+    spans = found(text, _RUN, RANDOM, text.rlike("[A-Za-z0-9+/_-]{16}"), around=AROUND if decoys else 0)
 
     def described(s: Column) -> Column:
         body = F.regexp_replace(s["m"], "=+$", "")
         n = F.length(body)
-        reach = 3 * n
-        before = text.substr(F.greatest(s["start"] - reach + 1, F.lit(1)), F.least(s["start"], reach))
-        around = F.concat(before, text.substr(s["end"] + 1, reach))
-        letters = F.regexp_replace(F.regexp_replace(around, _RUN, ""), "[^a-z]", "")
-        decoy = letters.substr(F.lit(1), n)
-        return F.struct(
-            s["start"],
-            s["end"],
-            n.alias("len"),
-            _score(body).alias("score"),
-            F.when(F.length(decoy) == n, _score(decoy)).alias("decoy"),
-        )
+        least = F.get(F.array(*map(F.lit, LENGTHS)), _length_class(n))
+
+        def parts(prose: Column, alphabet: Column) -> Column:
+            pieces = F.transform(F.sequence(F.lit(0), F.lit(decoys - 1)), lambda i: F.substr(prose, i * n + 1, n))
+            return F.transform(F.filter(pieces, lambda d: F.length(d) >= least), lambda d: _score(d, alphabet))
+
+        def tested(alphabet: Column) -> Column:
+            made = F.array().cast("array<int>")
+            if decoys:
+                near = F.regexp_replace(F.concat_ws(" ", s["before"], s["after"]), _RUN, " ")
+                made = let(_prose(near, alphabet), lambda prose: parts(prose, alphabet))
+            return F.struct(
+                s["start"],
+                s["end"],
+                (F.array_position(F.array(*map(F.lit, order)), alphabet).cast("int") * 10 + _length_class(n)).alias("class"),
+                _score(body, alphabet).alias("score"),
+                made.alias("decoys"),
+            )
+
+        return let(encoding(body), tested)
 
     return F.transform(spans, described).cast(_FOUND)
 
 
-def _class(n: Column) -> Column:
-    return sum((F.when(n >= k, 1).otherwise(0) for k in LENGTHS[1:]), F.lit(0))
-
-
 def fit(docs: DataFrame, rate: float = 0.05) -> dict[int, int]:
-    """For each class of length the largest score at which a candidate is discovered, at this false-discovery rate.
+    """For each class of encoding and length the largest score at which a candidate is discovered, at this
+    false-discovery rate.
 
-    At most len(LENGTHS) * (DEEP + 1) rows reach the driver.
+    At most len(ENCODINGS) * len(LENGTHS) * (DEEP + 1) rows reach the driver.
     """
     rows = docs.select(text_or_empty().alias("text")).filter(F.col("text").rlike("[A-Za-z0-9+/_-]{16}"))
-    rows = rows.select(F.explode(candidates(F.col("text"))).alias("c"))
-    both = F.array(
-        F.struct(F.lit(0).alias("null"), F.col("c.score").alias("score")),
-        F.struct(F.lit(1).alias("null"), F.col("c.decoy").alias("score")),
+    rows = rows.select(F.explode(candidates(F.col("text"), DECOYS)).alias("c"))
+    both = F.concat(
+        F.array(F.struct(F.lit(0).alias("null"), F.col("c.score").alias("score"))),
+        F.transform("c.decoys", lambda d: F.struct(F.lit(1).alias("null"), d.alias("score"))),
     )
-    rows = rows.select(_class(F.col("c.len")).alias("class"), F.explode(both).alias("x"))
-    rows = rows.filter(F.col("x.score").isNotNull())
+    rows = rows.select(F.col("c.class").alias("class"), F.explode(both).alias("x"))
     counts = rows.groupBy("class", "x.score").agg(
         F.count_if(F.col("x.null") == 0).alias("n"), F.count_if(F.col("x.null") == 1).alias("nulls")
     )
     return discovered([tuple(r) for r in counts.collect()], rate)
 
 
-def discovered(counts: list[tuple[int, int, int, int]], rate: float) -> dict[int, int]:
-    """Benjamini-Hochberg over cells (class, score, candidates, decoys)."""
+def discovered(counts: list[tuple[int, int, int, int]], rate: float, enough: int = ENOUGH) -> dict[int, int]:
+    """Benjamini-Hochberg over cells (class, score, candidates, decoys).
+
+    A class with fewer than `enough` decoys takes those of its encoding up to its length (shorter ones look more random,
+    so this errs on the safe side), then those of its encoding, then all.
+    """
+    own: dict[int, list] = {}
+    for c, score, n, nulls in counts:
+        own.setdefault(c, []).append((score, n, nulls))
     cells = []
-    for c in {x[0] for x in counts}:
-        own = sorted(x[1:] for x in counts if x[0] == c)
-        all_null, null = sum(x[2] for x in own), 0
-        for score, n, nulls in own:
-            null += nulls
+    for c, mine in sorted(own.items()):
+        of = lambda fits: [x for d, other in own.items() if fits(d) for x in other]
+        alike = lambda d: d // 10 == c // 10
+        pools = [mine, of(lambda d: alike(d) and d <= c), of(alike), of(lambda d: True)]
+        pool = next((p for p in pools if sum(x[2] for x in p) >= enough), pools[-1])
+        all_null = sum(x[2] for x in pool)
+        for score, n in sorted((score, n) for score, n, _ in mine if n):
+            null = sum(x[2] for x in pool if x[0] <= score)
             cells.append(((1 + null) / (1 + all_null), c, score, n))
     total, seen, limit = sum(x[3] for x in cells), 0, 0.0
     ordered = sorted(cells)
@@ -187,8 +223,8 @@ def discovered(counts: list[tuple[int, int, int, int]], rate: float) -> dict[int
         if (i + 1 == len(ordered) or ordered[i + 1][0] > p) and p * total <= rate * seen:
             limit = p
     out: dict[int, int] = {}
-    for p, c, score, n in cells:
-        if p <= limit and n:
+    for p, c, score, _ in cells:
+        if p <= limit:
             out[c] = max(score, out.get(c, -1))
     return out
 
@@ -202,7 +238,7 @@ def all_spans(text: Column, limits: dict[int, int]) -> Column:
     more = lambda: F.transform(
         F.filter(
             candidates(text),
-            lambda c: F.coalesce(c["score"] <= F.try_element_at(table, _class(c["len"])), F.lit(False)),
+            lambda c: F.coalesce(c["score"] <= F.try_element_at(table, c["class"]), F.lit(False)),
         ),
         lambda c: F.struct(F.lit(RANDOM).alias("kind"), c["start"], c["end"], F.lit("").alias("m")),
     ).cast(SPANS)
@@ -211,22 +247,25 @@ def all_spans(text: Column, limits: dict[int, int]) -> Column:
     return F.when(worth, together).otherwise(F.array().cast(SPANS))
 
 
-def find(docs: DataFrame, limits: dict[int, int]) -> DataFrame:
-    """docs with __spans, the base and the added spans.
+def find(docs: DataFrame, limits: dict[int, int], to: str = "__spans") -> DataFrame:
+    """docs with the column `to` (replaced if there is one), the base and the added spans.
 
-    Null text: no spans. Null doc_id and repeated rows: kept, a row each. Empty input: no rows. Texts are read whole.
-    Other columns stay as they are.
+    Null text: no spans. Null doc_id and repeated rows: kept, a row each. Empty input: no rows. Texts are read whole, in
+    time that grows little faster than their length. Ties do not arise: added spans overlap no others. Other columns
+    stay as they are.
     """
-    return docs.withColumn("__spans", all_spans(text_or_empty(), limits))
+    return docs.withColumn(to, all_spans(text_or_empty(), limits))
 
 
 def redact(docs: DataFrame, limits: dict[int, int]) -> DataFrame:
     """docs, each span in its text put as <ASSIGN>, <ACCESS>, <HEX> or <RANDOM>; null texts stay null."""
-    out = find(docs, limits).withColumn("text", replaced(F.col("text"), F.col("__spans"), KINDS))
+    own = unused(docs, "spans")
+    out = find(docs, limits, own).withColumn("text", replaced(F.col("text"), F.col(own), KINDS))
     return out.select(*docs.columns)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, as `find` defines them; nulls, ties, long texts and empty tables likewise."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     limits = fit(docs)
     out = find(docs, limits).drop("text")
