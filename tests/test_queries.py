@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracemill.plans import queries as own
+from tracemill.plans import catalog as own
 
 SF = "/root/testdata/sf0.01"
 

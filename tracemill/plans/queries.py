@@ -5,59 +5,45 @@ Users of `events` are problems, their events by event_id the tries, event_type i
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracemill.functions import stats, text
+from tracemill.functions import markers, stats, text
 from tracemill.operators import evals
 from tracemill.streaming import events as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FREQUENT = r"\b(?:the|of|de|and|to)\b"
-WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))"
-
-
-def query(name: str, *tables: str, sql: str):
-    """Registers a function of the tables' DataFrames."""
+from .registry import query
 
-    def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
-        SQL[name] = sql
-        return f
-
-    return register
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))"
 
 
-_TRIES = """WITH t AS (SELECT *, event_type = 'purchase' AS correct,
+TRIES = """WITH t AS (SELECT *, event_type = 'purchase' AS correct,
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) """
 
 
-def _correct():
+def correct():
     return F.col("event_type") == "purchase"
 
 
-def _share(condition):
+def share(condition):
     return F.avg(condition.cast("double"))
 
 
 @query("ag1_accuracy", "events", sql="SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS ok, round(100.0 * count(*) FILTER (event_type = 'purchase') / count(*), 6) AS accuracy FROM events GROUP BY user_id")
 def accuracy(e):
-    ok = F.count_if(_correct())
+    ok = F.count_if(correct())
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), ok.alias("ok"), F.round(100 * ok / F.count(F.lit(1)), 6).alias("accuracy"))
 
 
-@query("ag3_pass_at_4", "events", sql=_TRIES + "SELECT user_id, bool_or(correct) AS passed, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 6) AS avg_at_k FROM t WHERE pos < 4 GROUP BY user_id")
+@query("ag3_pass_at_4", "events", sql=TRIES + "SELECT user_id, bool_or(correct) AS passed, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 6) AS avg_at_k FROM t WHERE pos < 4 GROUP BY user_id")
 def pass_at_4(e):
     t = evals.first_tries(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", 4)
-    return t.groupBy("user_id").agg(F.bool_or(_correct()).alias("passed"), F.round(_share(_correct()), 6).alias("avg_at_k"))
+    return t.groupBy("user_id").agg(F.bool_or(correct()).alias("passed"), F.round(share(correct()), 6).alias("avg_at_k"))
 
 
 @query("ag5_pooled_accuracy", "events", sql="SELECT count(*) AS n, round(100.0 * count(*) FILTER (event_type = 'purchase') / count(*), 6) AS pooled, round(100.0 * (SELECT avg(a) FROM (SELECT avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS a FROM events GROUP BY user_id)), 6) AS macro FROM events")
 def pooled(e):
-    per = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(_correct()).alias("ok"))
+    per = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(correct()).alias("ok"))
     return per.agg(F.sum("n").alias("n"), F.round(100 * F.sum("ok") / F.sum("n"), 6).alias("pooled"), F.round(100 * F.avg(F.col("ok") / F.col("n")), 6).alias("macro"))
 
 
@@ -106,20 +92,20 @@ def histogram(e):
 _BINNED = "CASE WHEN p = 0 THEN '0' WHEN p <= 0.25 THEN 'low' WHEN p < 0.75 THEN 'mid' WHEN p < 1 THEN 'high' ELSE '1' END"
 
 
-@query("ag17_ag25_predictability", "events", sql=_TRIES + f", p AS (SELECT user_id, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS p FROM t WHERE pos < 4 GROUP BY user_id) SELECT {_BINNED} AS bin, count(*) AS problems, count(*) FILTER (p = 0) AS unreachable, round(avg(CASE WHEN p > 0 THEN -log2(p) END), 6) AS mean_bits FROM p GROUP BY 1")
+@query("ag17_ag25_predictability", "events", sql=TRIES + f", p AS (SELECT user_id, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS p FROM t WHERE pos < 4 GROUP BY user_id) SELECT {_BINNED} AS bin, count(*) AS problems, count(*) FILTER (p = 0) AS unreachable, round(avg(CASE WHEN p > 0 THEN -log2(p) END), 6) AS mean_bits FROM p GROUP BY 1")
 def predictability(e):
     t = evals.first_tries(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", 4)
-    p = t.groupBy("user_id").agg(_share(_correct()).alias("p"))
+    p = t.groupBy("user_id").agg(share(correct()).alias("p"))
     return p.groupBy(F.expr(_BINNED).alias("bin")).agg(
         F.count(F.lit(1)).alias("problems"), F.count_if(F.col("p") == 0).alias("unreachable"),
         F.round(F.avg(F.when(F.col("p") > 0, -F.log2("p"))), 6).alias("mean_bits"),
     )
 
 
-@query("ag18_dense_histogram", "events", sql=_TRIES + ", c AS (SELECT user_id, count(*) FILTER (correct) AS k FROM t WHERE pos < 4 GROUP BY 1), g AS (SELECT k, count(*) AS n FROM c GROUP BY k) SELECT i AS solved, coalesce(n, 0) AS problems FROM range(5) r(i) LEFT JOIN g ON k = i")
+@query("ag18_dense_histogram", "events", sql=TRIES + ", c AS (SELECT user_id, count(*) FILTER (correct) AS k FROM t WHERE pos < 4 GROUP BY 1), g AS (SELECT k, count(*) AS n FROM c GROUP BY k) SELECT i AS solved, coalesce(n, 0) AS problems FROM range(5) r(i) LEFT JOIN g ON k = i")
 def dense(e):
     t = evals.first_tries(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", 4)
-    c = t.groupBy("user_id").agg(F.count_if(_correct()).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    c = t.groupBy("user_id").agg(F.count_if(correct()).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     every = e.sparkSession.range(5).withColumnRenamed("id", "solved")
     return every.join(c, F.col("k") == F.col("solved"), "left").select("solved", F.coalesce("n", F.lit(0)).alias("problems"))
 
@@ -138,12 +124,12 @@ def budget(d):
     return n.groupBy("lang").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("n") > 200, 200).otherwise(F.col("n") + 1)).alias("kept"), F.count_if(F.col("n") > 200).alias("cut"))
 
 
-@query("ag27_t25_density", "documents", sql=f"WITH d AS (SELECT lang, len(regexp_extract_all(text, '{FREQUENT}')) AS m, {WORDS} AS n FROM documents WHERE text IS NOT NULL) SELECT lang, round(1000.0 * sum(m) / sum(n), 6) AS micro, round(avg(CASE WHEN n = 0 THEN 0.0 ELSE 1000.0 * m / n END), 6) AS macro FROM d GROUP BY lang")
+@query("ag27_density", "documents", sql=f"WITH d AS (SELECT lang, len(regexp_extract_all(text, '(?i){markers.MARKER[4:]}')) AS m, {WORDS} AS n FROM documents WHERE text IS NOT NULL) SELECT lang, round(1000.0 * sum(m) / sum(n), 6) AS micro, round(avg(1000.0 * m / greatest(n, 1)), 6) AS macro FROM d GROUP BY lang")
 def densities(d):
     d = d.filter(F.col("text").isNotNull())
-    m, n = F.regexp_count("text", F.lit(FREQUENT)), F.regexp_count("text", F.lit(r"[^ \t-\r]+"))
+    m, n = F.regexp_count("text", F.lit(markers.MARKER)), text.word_count(F.col("text"))
     d = d.select("lang", m.cast("long").alias("m"), n.cast("long").alias("n"))
-    macro = F.coalesce(F.try_divide(1000 * F.col("m"), F.col("n")), F.lit(0.0))
+    macro = 1000 * F.col("m") / F.greatest(F.col("n"), F.lit(1))
     return d.groupBy("lang").agg(F.round(1000 * F.sum("m") / F.sum("n"), 6).alias("micro"), F.round(F.avg(macro), 6).alias("macro"))
 
 
@@ -157,7 +143,7 @@ def all_present(e):
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("k")).filter("k = 5").drop("k")
 
 
-@query("ag35_step_window", "events", sql="SELECT user_id, round(coalesce(avg(value) FILTER (pos BETWEEN 40 AND 59), 0), 6) AS reward FROM (" + _TRIES + "SELECT * FROM t) GROUP BY user_id")
+@query("ag35_step_window", "events", sql="SELECT user_id, round(coalesce(avg(value) FILTER (pos BETWEEN 40 AND 59), 0), 6) AS reward FROM (" + TRIES + "SELECT * FROM t) GROUP BY user_id")
 def step_window(e):
     t = evals.numbered(e.select("user_id", "event_id", "value"), "user_id", "event_id")
     return t.groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("pos").between(40, 59), F.col("value"))), F.lit(0.0)), 6).alias("reward"))
@@ -233,10 +219,10 @@ def question_overlap(d, b):
     return own.join(keys, F.col("k") == F.col("__k"), "left_semi").dropDuplicates(["__row"]).select("doc_id")
 
 
-@query("j13_paired", "events", sql=_TRIES + ", p AS (SELECT user_id, bool_or(correct) FILTER (pos < 4) AS a, bool_or(correct) FILTER (pos BETWEEN 4 AND 7) AS b FROM t GROUP BY user_id) SELECT count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (b AND NOT a) AS gained FROM p")
+@query("j13_paired", "events", sql=TRIES + ", p AS (SELECT user_id, bool_or(correct) FILTER (pos < 4) AS a, bool_or(correct) FILTER (pos BETWEEN 4 AND 7) AS b FROM t GROUP BY user_id) SELECT count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (b AND NOT a) AS gained FROM p")
 def paired(e):
     t = evals.first_tries(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", 8)
-    p = t.groupBy("user_id").agg(F.bool_or(F.when(F.col("pos") < 4, _correct())).alias("a"), F.bool_or(F.when(F.col("pos") >= 4, _correct())).alias("b"))
+    p = t.groupBy("user_id").agg(F.bool_or(F.when(F.col("pos") < 4, correct())).alias("a"), F.bool_or(F.when(F.col("pos") >= 4, correct())).alias("b"))
     return p.agg(F.count_if(F.expr("a AND NOT b")).alias("lost"), F.count_if(F.expr("b AND NOT a")).alias("gained"))
 
 
@@ -261,11 +247,6 @@ def mixture(d):
     return d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b").alias("side"))
 
 
-@query("t8_content_words", "documents", sql="SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), lambda x: x NOT IN ('that', 'this', 'with', 'from'))) AS n FROM documents WHERE text IS NOT NULL")
-def content(d):
-    return d.filter(F.col("text").isNotNull()).select("doc_id", F.size(text.content_words(F.col("text"))).cast("long").alias("n"))
-
-
 @query("t35_last_number", "documents", sql=r"SELECT doc_id, list_extract(regexp_extract_all(replace(text, ',', ''), '-?[0-9]+(?:\.[0-9]+)?'), -1) AS number FROM documents")
 def last_number(d):
     return d.select("doc_id", text.last_number(F.col("text")).alias("number"))
@@ -286,7 +267,7 @@ def sets(c, s):
 
 @query("st2_wilson", "events", sql="WITH g AS (SELECT user_id, count(*) AS n, 1.0 * count(*) FILTER (event_type = 'purchase') / count(*) AS p FROM events GROUP BY 1) SELECT user_id, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 4) AS low, round((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 4) AS high FROM g")
 def wilson(e):
-    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(_correct()).alias("ok"))
+    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(correct()).alias("ok"))
     w = g.select("user_id", stats.wilson(F.col("ok"), F.col("n")).alias("w"))
     return w.select("user_id", F.round("w.low", 4).alias("low"), F.round("w.high", 4).alias("high"))
 
