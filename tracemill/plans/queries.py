@@ -73,17 +73,6 @@ def majority(e):
     return evals.majority(e, "user_id", "event_type", "event_id")
 
 
-@query("ag13_ag14_quantiles", "events", sql="WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(value) FILTER (i = n // 2) AS upper_median, max(value) FILTER (i = least(n - 1, floor(0.25 * n))) AS p25, max(value) FILTER (i = least(n - 1, floor(0.95 * n))) AS p95 FROM r GROUP BY event_type")
-def quantiles(e):
-    places = {"upper_median": evals.upper_median(), "p25": evals.floor_quantile(0.25), "p95": evals.floor_quantile(0.95)}
-    return evals.order_statistics(e, "event_type", "value", places)
-
-
-@query("ag15_percentile", "events", sql="SELECT event_type, round(quantile_cont(value, 0.25), 6) AS p25, round(median(value), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
-def percentile(e):
-    return e.groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(to) for p, to in [(0.25, "p25"), (0.5, "p50"), (0.99, "p99")]])
-
-
 @query("ag16_histogram", "events", sql="WITH h AS (SELECT CASE WHEN value BETWEEN 0 AND 200 THEN CAST(least(floor(value / 10.0), 19) AS INT) END AS b, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT CAST(i AS INT) AS bin, coalesce(c, 0) AS count, round(coalesce(c / ((SELECT sum(c) FROM h) * 10.0), 0), 9) AS density FROM range(20) r(i) LEFT JOIN h ON b = i")
 def histogram(e):
     return evals.histogram(e, "value", 0.0, 200.0, 20).withColumn("density", F.round("density", 9))
@@ -149,14 +138,6 @@ def step_window(e):
     return t.groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("pos").between(40, 59), F.col("value"))), F.lit(0.0)), 6).alias("reward"))
 
 
-@query("pf6_screening", "documents", "labels", sql="WITH q AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) SELECT CASE WHEN q.doc_id IS NULL THEN 'unlabelled' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' ELSE 'keep' END AS reason, count(*) AS n FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id GROUP BY 1")
-def screening(d, labels):
-    q = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    joined = d.select("doc_id").join(q, F.col("doc_id") == F.col("__id"), "left")
-    tests = [("unlabelled", F.col("__id").isNull()), ("toxic", F.col("toxic") == 1), ("poor", F.col("quality") == 0)]
-    return evals.screened(joined, tests).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("pf8_strided_shard", "orders", sql="SELECT o_orderkey % 7 AS shard, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1")
 def strided(o):
     return o.groupBy((F.col("o_orderkey") % 7).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
@@ -168,43 +149,12 @@ def top_per_group(o):
     return o.withColumn("r", rank).filter("r <= 3").select("o_custkey", "o_orderkey", "r")
 
 
-@query("j3_lookup", "lineitem", "orders", sql="SELECT count(*) AS n, count(o_orderkey) AS matched FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
-def lookup(line, o):
-    out = line.select("l_orderkey").join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count("o_orderkey").alias("matched"))
-
-
-@query("j4_intersection", "events", sql="SELECT user_id FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id HAVING count(DISTINCT event_type) = 3")
-def intersection(e):
-    e = e.filter(F.col("event_type").isin("click", "view", "purchase"))
-    return e.groupBy("user_id").agg(F.count_distinct("event_type").alias("k")).filter("k = 3").select("user_id")
-
-
-@query("j5_semi", "customer", "orders", sql="SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-def semi(c, o):
-    return c.join(o.filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@query("j6_anti", "customer", "orders", sql="SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def anti(c, o):
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
 @query("j8_priority", "events", sql="SELECT user_id, event_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p) AS r FROM (SELECT user_id, min(event_id) AS event_id, 'own' AS origin, 0 AS p FROM events WHERE event_type = 'purchase' AND value > 100 GROUP BY 1 UNION ALL SELECT user_id, min(event_id), 'hint', 1 FROM events WHERE event_type = 'click' AND value > 50 GROUP BY 1 UNION ALL SELECT user_id, min(event_id), 'salvage', 2 FROM events GROUP BY 1)) WHERE r = 1")
 def priority(e):
     first = lambda c: e.filter(c).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     return evals.staged(first("event_type = 'purchase' AND value > 100"), first("event_type = 'click' AND value > 50"), first("true"), "user_id", "event_id")
 
 
-@query("j12_decontamination", "documents", "benchmark", sql="SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.text <> '' AND contains(d.text, b.text))")
-def containment(d, b):
-    """Documents that hold a held-out question. The questions are a stated query set; broadcast while under 64 MB."""
-    b = b.filter("text <> ''").select(F.col("text").alias("__q"))
-    size = b.agg(F.sum(F.octet_length("__q"))).first()[0] or 0
-    near = F.broadcast(b) if size < 64 << 20 else b
-    return d.select("doc_id", "text").join(near, F.contains("text", F.col("__q")), "left_semi").select("doc_id")
-
-
 _NORMAL = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 
 
@@ -219,6 +169,18 @@ def question_overlap(d, b):
     return own.join(keys, F.col("k") == F.col("__k"), "left_semi").dropDuplicates(["__row"]).select("doc_id")
 
 
+_AS_ASKED = f"SELECT CASE WHEN item_id % 3 = 0 THEN upper(replace(text, ' ', '  ')) WHEN item_id % 3 = 1 THEN left({_NORMAL}, 60) || ' and more' ELSE 'so: ' || text END AS text, item_id FROM benchmark"
+
+
+@query("j12_overlap_of_candidates", "benchmark", sql=f"WITH q AS (SELECT {_NORMAL} AS k FROM benchmark), s AS (SELECT k FROM q UNION SELECT left(k, 60) FROM q), d AS (SELECT item_id, {_NORMAL} AS k FROM ({_AS_ASKED})) SELECT item_id FROM d WHERE k <> '' AND (k IN (SELECT k FROM s WHERE k <> '') OR left(k, 60) IN (SELECT k FROM s WHERE k <> ''))")
+def overlap_of_candidates(b):
+    """Each held-out question in other case and spacing, with another end, or behind other words."""
+    k = F.col("item_id") % 3
+    other = F.when(k == 0, F.upper(F.replace("text", F.lit(" "), F.lit("  ")))).when(k == 1, F.concat(F.left(text.normalized(F.col("text")), F.lit(60)), F.lit(" and more")))
+    asked = b.select(F.col("item_id").alias("doc_id"), other.otherwise(F.concat(F.lit("so: "), "text")).alias("text"))
+    return question_overlap(asked, b).withColumnRenamed("doc_id", "item_id")
+
+
 @query("j13_paired", "events", sql=TRIES + ", p AS (SELECT user_id, bool_or(correct) FILTER (pos < 4) AS a, bool_or(correct) FILTER (pos BETWEEN 4 AND 7) AS b FROM t GROUP BY user_id) SELECT count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (b AND NOT a) AS gained FROM p")
 def paired(e):
     t = evals.first_tries(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", 8)
@@ -242,11 +204,6 @@ def repetition(d):
     return d.filter(F.col("text").isNotNull()).select("doc_id", F.round(text.repetition_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query("w19_mixture", "documents", sql="SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'a' ELSE 'b' END AS side FROM documents")
-def mixture(d):
-    return d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b").alias("side"))
-
-
 @query("t35_last_number", "documents", sql=r"SELECT doc_id, list_extract(regexp_extract_all(replace(text, ',', ''), '-?[0-9]+(?:\.[0-9]+)?'), -1) AS number FROM documents")
 def last_number(d):
     return d.select("doc_id", text.last_number(F.col("text")).alias("number"))
