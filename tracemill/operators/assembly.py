@@ -140,7 +140,7 @@ def agrees_with_record(values: DataFrame, recorded: DataFrame, key: str, value:
 
 def bootstrap(rows: DataFrame, strata: str, key: str, value: str, draws: int, seed: int) -> DataFrame:
     """(draw, mean): means over resampled strata of resampled rows, by Poisson weights from seeded hashes: each row and
-    each stratum has its weight in every draw without any row being copied to another task."""
+    each stratum has its weight in every draw without any row being copied to another task. Null if a draw has no stratum."""
     every = rows.select(strata, key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     cut, p, total = [], 0.36787944117144233, 0.0
     for k in range(7):

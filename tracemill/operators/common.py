@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster shares; a temporary folder serves where all is one machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares; a temporary one serves where all is one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all workers share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracemill-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/files-{uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

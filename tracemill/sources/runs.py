@@ -1,41 +1,166 @@
-"""Readers of run files: JSON arrays, JSON lines that may be torn, and folders whose paths hold columns."""
+"""Readers of run files: JSON arrays, JSON lines that may be torn, folders whose paths hold columns, shards, settings.
+
+All paths are Spark's, so any file system that Spark reads will do.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.operators.common import asserted
+
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a file that is one JSON array, with idx, their place. The file is one task's, as JSON arrays have to be."""
+    """Rows of files that are one JSON array each, with idx, their place. A file is one task's, as JSON arrays have to be."""
     kind = T.ArrayType(T.StructType.fromDDL(schema))
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.from_json("value", kind)).alias("idx", "__r")).select("idx", "__r.*")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str, corrupt: str | None = None) -> DataFrame:
-    """Rows of JSON lines; blank lines are skipped. corrupt: a column for lines that cannot be parsed, else they are dropped."""
+def read_document_rows(spark: SparkSession, path: str, schema: str, field: str = "rows") -> DataFrame:
+    """The rows that one JSON document holds in a field, with idx, their place."""
+    kind = T.StructType([T.StructField(field, T.ArrayType(T.StructType.fromDDL(schema)))])
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d"))
+    return whole.select(F.posexplode(f"d.{field}").alias("idx", "__r")).select("idx", "__r.*")
+
+
+def read_json_lines(spark: SparkSession, path: str | list[str], schema: str, corrupt: str | None = None) -> DataFrame:
+    """Rows of JSON lines; blank lines are skipped. corrupt: a column for lines that cannot be parsed, null for others;
+    without it they are left out, and torn_lines counts them."""
     name = corrupt or "__corrupt"
     full = T.StructType.fromDDL(schema).add(name, "string")
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", name).json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": name}).alias("r"), "value")
+    rows = parsed.select("r.*")
     return rows if corrupt else rows.filter(F.col(name).isNull()).drop(name)
 
 
+def torn_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """One row: lines in all and lines that cannot be parsed."""
+    rows = read_json_lines(spark, path, schema, "__torn")
+    return rows.agg(F.count(F.lit(1)).alias("lines"), F.count("__torn").alias("torn"))
+
+
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with the same key the last by order."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return rows.withColumn("__r", rank).filter("__r = 1").drop("__r")
+    """Of rows with the same key the last by order; among equals any."""
+    best = F.max_by(F.struct(*rows.columns), F.col(order))
+    return rows.groupBy(F.col(key).alias("__key")).agg(best.alias("__r")).select("__r.*")
+
+
+def resumed(spark: SparkSession, path: str, jobs: DataFrame, key: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(done, pending): the good lines of a cache that may be torn, one for each key, and the jobs that it lacks."""
+    done = read_json_lines(spark, path, schema).dropDuplicates([key])
+    return done, jobs.join(done.select(key), key, "left_anti")
+
+
+def prefix_resumed(jobs: DataFrame, place: str, done: int) -> DataFrame:
+    """The jobs behind the first `done` places, which an ordered cache holds."""
+    return jobs.filter(F.col(place) >= done)
 
 
 def with_path_columns(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Adds the last folders of each row's file as columns, e.g. condition, model and benchmark; and file, its name."""
+    """Adds the last folders of each row's file as columns, e.g. condition, model and benchmark; and file, its name.
+
+    Rows whose path is too shallow for all of them have null in the first ones. rows has to be a file scan.
+    """
     parts = F.split("_metadata.file_path", "/")
     n = len(names)
     columns = {name: F.try_element_at(parts, F.lit(i - n - 1)) for i, name in enumerate(names)}
     return rows.withColumns(columns | {"file": F.element_at(parts, -1)})
 
 
-def write_json_array_rows(rows: DataFrame, path: str) -> None:
-    """JSON lines, committed as a whole."""
-    rows.write.mode("errorifexists").json(path)
+def name_parameters(file: Column) -> dict[str, Column]:
+    """temperature, k, start and end from names like t0.7_k4_s0_e100.jsonl; null where the name has none."""
+    part = lambda p, kind: F.nullif(F.regexp_extract(file, p, 1), F.lit("")).try_cast(kind)
+    return {
+        "temperature": part(r"(?:^|_)t([0-9.]+?)(?=_|\.jsonl?$)", "double"),
+        "k": part(r"_k([0-9]+)", "int"),
+        "start": part(r"_s([0-9]+)", "int"),
+        "end": part(r"_e([0-9]+)", "int"),
+    }
+
+
+def is_greedy(file: Column) -> Column:
+    """Names of runs at temperature 0 with one try."""
+    return F.contains(file, F.lit("t0.0_k1_"))
+
+
+def first_file(rows: DataFrame, by: list[str], file: str = "file") -> DataFrame:
+    """Of each combination of columns the rows of its first file by name."""
+    first = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(file).alias("__first"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col(file) == F.col("__first")]
+    return rows.join(F.broadcast(first) if first.isEmpty() else first, on).drop("__first", *[f"__{c}" for c in by])
+
+
+def read_shards(spark: SparkSession, paths: list[str], schema: str, key: str, tries: str) -> DataFrame:
+    """One row a key: the tries of all shards of it, in order of file, then of place within it."""
+    full = T.StructType.fromDDL(schema)
+    rows = spark.read.schema(full).json(paths).select("*", F.col("_metadata.file_path").alias("__file"))
+    each = rows.select(key, "__file", F.posexplode(tries).alias("__at", "__try"))
+    merged = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__file", "__at", "__try"))).alias("__all"))
+    return merged.select(key, F.transform("__all", lambda x: x["__try"]).alias(tries))
+
+
+def with_sidecar(spark: SparkSession, records: str, meta: str, record_schema: str, meta_schema: str) -> DataFrame:
+    """The rows of a JSON array and of the one beside it, by place; fails if one is longer."""
+    a, b = read_json_array(spark, records, record_schema), read_json_array(spark, meta, meta_schema)
+    other = b.select(F.col("idx").alias("__idx"), *[c for c in b.columns if c != "idx"])
+    both = a.join(other, F.col("idx") == F.col("__idx"), "full_outer")
+    return asserted(both, F.col("idx").isNotNull() & F.col("__idx").isNotNull(), "records and descriptions differ in number").drop("__idx")
+
+
+def read_dataset(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """A published data set as Parquet, its columns renamed {new: old}."""
+    return spark.read.parquet(path).select(*[F.col(old).alias(new) for new, old in columns.items()])
+
+
+def read_settings(text: str) -> dict:
+    """Nested settings from YAML of maps, lists of plain values, and plain values; on the driver, as settings are small."""
+    root: dict = {}
+    stack: list[tuple[int, dict | list]] = [(-1, root)]
+    for raw in text.splitlines():
+        line = raw.split(" #")[0].rstrip()
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        depth, body = len(line) - len(line.lstrip()), line.strip()
+        while stack[-1][0] >= depth:
+            stack.pop()
+        parent = stack[-1][1]
+        if body.startswith("- "):
+            parent["__list"] = [*parent.get("__list", []), _plain(body[2:])]
+            continue
+        name, _, value = body.partition(":")
+        if value.strip():
+            parent[name.strip()] = _plain(value.strip())
+        else:
+            parent[name.strip()] = child = {}
+            stack.append((depth, child))
+    return _lists(root)
+
+
+def _plain(value: str):
+    if value[:1] in "'\"" and value[-1:] == value[:1]:
+        return value[1:-1]
+    if value.startswith("[") and value.endswith("]"):
+        return [_plain(v.strip()) for v in value[1:-1].split(",") if v.strip()]
+    if value in ("true", "false", "null", "~"):
+        return {"true": True, "false": False}.get(value)
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            pass
+    return value
+
+
+def _lists(node):
+    if isinstance(node, dict):
+        return node["__list"] if set(node) == {"__list"} else {k: _lists(v) for k, v in node.items()}
+    return node
+
+
+def sequence_place(rows: DataFrame, order: str) -> DataFrame:
+    """idx from 0 within each file, by order."""
+    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("file").orderBy(order)) - 1)
