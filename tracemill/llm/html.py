@@ -1,6 +1,9 @@
 """HTML to text by layout: a tree with implied tags, visibility rules, and a renderer that keeps blocks, lists and tables.
 
-Nothing here recurses and no step looks at a text twice, so deep or long pages take time and memory in proportion.
+Nothing here recurses, and the scanner goes through a page once, so deep, long or cut-off pages take time and memory in
+proportion. Visible is what neither the tag, the hidden attribute, a style attribute nor a plain rule of a style element
+hides. Plain rules are those outside @ blocks whose selectors are a tag, #id and .classes put together, without
+combinators; others are not looked at, nor are style sheets elsewhere.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ import re
 from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -50,13 +54,10 @@ _IN_HEAD = set("title meta link base basefont bgsound style script noscript nofr
 #: What a tag stands in, if it is not there: row parts in a row, rows in a table.
 _NEEDS = {"td": "tr", "th": "tr"}
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|([^<]+|<)",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+([\"']|[^\s>\"'][^\s>]*+)?)?)")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*+|\*)?((?:[.#][\w-]++)*+)")
 _BLANK = re.compile(r"[ \t\n\r\f]*")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
@@ -68,13 +69,36 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes or {}, []
 
 
+def tag_at(html: str, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+    """(name, attributes, whether it ends itself, where it ends) of the start tag at `at`; None if the page's end cuts it off.
+
+    Each attribute is matched once where the one before it ended; a quote without its fellow ends the page.
+    """
+    m = _NAME.match(html, at + 1)
+    name, attributes, at = m[0].lower(), {}, m.end()
+    while True:
+        m = _ATTRIBUTE.match(html, at)
+        if m is None:
+            return None
+        if m[1]:
+            return name, attributes, html[m.end() - 2] == "/", m.end()
+        key, value, at = m[2].lower(), m[3] or "", m.end()
+        if value in ("'", '"'):
+            end = html.find(value, at)
+            if end < 0:
+                return None
+            value, at = html[at:end], end + 1
+        if at == len(html):
+            return None
+        attributes.setdefault(key, unescape(value))
+
+
 def parse(html: str) -> Node:
     """The tree. Text is a plain string among a node's children."""
     root = Node("html")
     stack = [root]
     opened: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag stands, outermost first
     at, end = 0, len(html)
-    lower = None
 
     def end_head() -> None:
         """Text or a tag that no head holds closes an open head and begins the body."""
@@ -105,37 +129,54 @@ def parse(html: str) -> Node:
                 depth = min(depth, opened[t][bisect(opened[t], barrier)])
         cut(depth)
 
+    def end_tag(tag: str) -> None:
+        if tag in ("br", "p"):
+            end_head()
+        if tag == "br":
+            stack[-1].children.append(Node("br"))
+        elif tag == "p" and not opened.get("p"):
+            stack[-1].children.append(Node("p"))
+        elif tag not in VOID and tag not in ("html", "body"):
+            stop = set() if tag in BLOCK or tag in _SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else _SCOPE
+            if tag not in ("table",) and tag in CLOSES:
+                stop = CLOSES[tag][1]
+            if tag not in ("table", "div", "form", "section", "article", "main"):
+                stop = stop | _TABLE
+            if opened.get(tag) and opened[tag][-1] >= innermost(stop):
+                cut(opened[tag][-1])
+
     while at < end:
-        m = _TOKEN.match(html, at)
-        if m is None:  # a tag that the page's end cuts off
-            break
-        at = m.end()
-        if m[4] is not None:
-            if not _BLANK.fullmatch(m[4]):
-                end_head()
-            stack[-1].children.append(m[4])
-        elif m[1] is not None:
-            tag = m[1].lower()
-            if tag in ("br", "p"):
+        opening = html.find("<", at)
+        if opening != at:
+            text = html[at : opening if opening > 0 else end]
+            at += len(text)
+        elif html.startswith("<!--", at):
+            short = next((x for x in ("<!-->", "<!--->") if html.startswith(x, at)), None)
+            m = _COMMENT_END.search(html, at + 4) if short is None else None
+            at = at + len(short) if short else m.end() if m else end
+            continue
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            shut = html.find(">", at)
+            at = shut + 1 if shut > 0 else end
+            continue
+        elif html[at + 1 : at + 2] == "/" and (m := _NAME.match(html, at + 2)):
+            tag, shut = m[0].lower(), html.find(">", m.end())
+            at = shut + 1 if shut > 0 else end
+            end_tag(tag)
+            continue
+        elif _NAME.match(html, at + 1):
+            text = None
+        else:
+            text, at = "<", at + 1
+        if text is not None:
+            if not _BLANK.fullmatch(text):
                 end_head()
-            if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p" and not opened.get("p"):
-                stack[-1].children.append(Node("p"))
-            elif tag not in VOID and tag not in ("html", "body"):
-                stop = set() if tag in BLOCK or tag in _SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else _SCOPE
-                if tag not in ("table",) and tag in CLOSES:
-                    stop = CLOSES[tag][1]
-                if tag not in ("table", "div", "form", "section", "article", "main"):
-                    stop = stop | _TABLE
-                if opened.get(tag) and opened[tag][-1] >= innermost(stop):
-                    cut(opened[tag][-1])
-        elif m[2] is not None:
-            tag = m[2].lower()
-            attributes = {}
-            if m[3] and not m[3].isspace():
-                for a in _ATTRIBUTE.finditer(m[3]):
-                    attributes.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
+            stack[-1].children.append(text)
+        else:
+            found = tag_at(html, at)
+            if found is None:  # a tag that the page's end cuts off
+                break
+            tag, attributes, closed, at = found
             if tag in ("html", "body"):
                 for k, v in attributes.items():
                     root.attributes.setdefault(k, v) if tag == "html" else None
@@ -152,12 +193,11 @@ def parse(html: str) -> Node:
             if tag in _NEEDS and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 put(_NEEDS[tag])
             node = put(tag, attributes)
-            if tag in VOID or (m[3].endswith("/") and tag in ("svg", "math", "path")):
+            if tag in VOID or (closed and tag in ("svg", "math", "path")):
                 cut(len(stack) - 1)
             elif tag in RAW or tag == "plaintext":
-                lower = html.lower() if lower is None and len(html.lower()) == len(html) else lower
-                where = lower.find(f"</{tag}", at) if lower is not None else _find(html, tag, at)
-                stop = end if where < 0 or tag == "plaintext" else where
+                m = None if tag == "plaintext" else _raw_end(tag).search(html, at)
+                stop = m.start() if m else end
                 node.children.append(html[at:stop])
                 cut(len(stack) - 1)
                 shut = html.find(">", stop)
@@ -165,18 +205,78 @@ def parse(html: str) -> Node:
     return root
 
 
-def _find(html: str, tag: str, at: int) -> int:
-    m = re.compile(f"</{tag}", re.I).search(html, at)
-    return m.start() if m else -1
-
-
-def visible(node: Node) -> bool:
+@lru_cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I)
+
+
+def declared(style: str) -> tuple[bool | None, bool | None]:
+    """Whether declarations take an element out of the page, and whether they hide it; None where they do not say."""
+    gone = hidden = None
+    for part in style.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.replace("!important", "").strip().lower()
+        if name == "display":
+            gone = value == "none"
+        elif name == "visibility":
+            hidden = value in ("hidden", "collapse")
+    return gone, hidden
+
+
+class Rules:
+    """The plain rules of a page's style elements that bear on what is visible."""
+
+    def __init__(self, root: Node):
+        self.by: dict[str, list[tuple]] = defaultdict(list)
+        todo: list[Node] = [root]
+        while todo:
+            node = todo.pop()
+            if node.tag == "style":
+                self.read("".join(c for c in node.children if isinstance(c, str)))
+            todo.extend(c for c in node.children if isinstance(c, Node))
+
+    def read(self, sheet: str) -> None:
+        sheet = "".join(part.partition("*/")[2] if i else part for i, part in enumerate(sheet.split("/*")))
+        depth = 0
+        for part in sheet.split("}"):
+            head, brace, body = part.rpartition("{")
+            plain = depth == 0 and "{" not in head and "@" not in head
+            depth = max(0, depth + part.count("{") - 1)
+            said = declared(body) if brace and plain else (None, None)
+            if said == (None, None):
+                continue
+            for selector in head.split(","):
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and selector.strip():
+                    tag = (m[1] or "*").lower()
+                    marks = re.findall(r"[.#][\w-]+", m[2])
+                    weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*")
+                    self.by[marks[0] if marks else tag].append((weight, len(self.by), tag, marks, said))
+
+    def of(self, node: Node) -> tuple[bool | None, bool | None]:
+        if not self.by:
+            return None, None
+        a = node.attributes
+        own = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
+        fits = [r for k in (*own, node.tag, "*") for r in self.by.get(k, ()) if r[2] in ("*", node.tag) and own.issuperset(r[3])]
+        gone = hidden = None
+        for *_, said in sorted(fits, key=lambda r: r[:2]):
+            gone, hidden = (b if b is not None else a for a, b in zip((gone, hidden), said))
+        return gone, hidden
+
+
+def seen(node: Node, rules: Rules, above: bool) -> tuple[bool, bool]:
+    """(whether the node is part of the page, whether its text shows); above: whether its parent's text shows."""
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found":
-        return False
+        return False, False
     if node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and _HIDING.search(a["style"]))
+        return False, False
+    gone, hidden = rules.of(node)
+    if "style" in a:
+        own = declared(a["style"])
+        gone, hidden = (y if y is not None else x for x, y in zip((gone, hidden), own))
+    return not gone, above if hidden is None else not hidden
 
 
 class Flow:
@@ -238,63 +338,75 @@ class Table:
         self.rows: list[list[tuple[list[str], int, int]]] = []
 
     def lines(self, widest: int) -> list[str]:
-        """Columns as wide as their longest cell of at most `widest` characters, two spaces apart."""
-        grid: list[dict[int, list[str]]] = []
+        """Columns as wide as their longest cell of at most `widest` characters, two spaces apart. A cell over several
+        columns widens the last of them if they are too narrow for it."""
+        grid: list[dict[int, tuple[list[str], int]]] = []
         held: dict[int, int] = {}
         widths: dict[int, int] = {}
+        wide: list[tuple[int, int, int]] = []
         for row in self.rows:
             cells, column = {}, 0
             for lines, across, down in row:
                 while held.get(column, 0):
                     column += 1
-                cells[column] = lines
+                cells[column] = lines, across
                 for c in range(column, column + across):
                     if down > 1:
                         held[c] = down
+                fit = max((len(x) for x in lines if len(x) <= widest), default=0)
                 if across == 1:
-                    fit = max((len(x) for x in lines if len(x) <= widest), default=0)
                     widths[column] = max(widths.get(column, 0), fit)
+                else:
+                    wide.append((across, column, fit))
                 column += across
             held = {c: n - 1 for c, n in held.items() if n > 1}
             grid.append(cells)
+        whole = lambda c, n: sum(widths.get(k, 0) for k in range(c, c + n)) + 2 * (n - 1)
+        for across, column, fit in sorted(wide):
+            last = column + across - 1
+            widths[last] = widths.get(last, 0) + max(0, fit - whole(column, across))
         out = []
         for cells in grid:
-            for i in range(max(map(len, cells.values()), default=0)):
+            for i in range(max((len(lines) for lines, _ in cells.values()), default=0)):
                 line, at = [], 0
-                for c, lines in sorted(cells.items()):
-                    while at < c:
-                        line.append(" " * widths.get(at, 0))
-                        at += 1
-                    x = lines[i] if i < len(lines) else ""
-                    line.append(x.ljust(widths.get(c, 0)))
-                    at += 1
+                for c, (lines, across) in sorted(cells.items()):
+                    if at < c:
+                        line.append(" " * whole(at, c - at))
+                    line.append((lines[i] if i < len(lines) else "").ljust(whole(c, across)))
+                    at = c + across
                 out.append("  ".join(line).rstrip())
         return out
 
 
 def _number(value: str, default: int, most: int) -> int:
-    m = re.match(r"\s*(-?\d{1,6})", value or "")
+    m = re.match(r"\s*+(-?\d{1,11})", value or "")
     return max(-most, min(int(m[1]), most)) if m else default
 
 
 def render(root: Node, widest: int = 60) -> str:
     """All visible text of the tree."""
     flow, flows, tables, lists = Flow(), [], [], []
+    rules, shows = Rules(root), [True]
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
-            flow.text(unescape(node))
+            if shows[-1]:
+                flow.text(unescape(node))
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            there, text_shows = seen(node, rules, shows[-1])
+            if not there:
                 continue
+            shows.append(text_shows)
             todo.append((node, True))
             if tag == "br":
                 flow.end_line(True)
             elif tag == "wbr":
                 pass
+            elif not shows[-1] and tag in ("img", "input", "q"):
+                pass
             elif tag == "img" and node.attributes.get("alt"):
                 flow.text(node.attributes["alt"])
             elif tag == "input" and node.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset"):
@@ -303,15 +415,15 @@ def render(root: Node, widest: int = 60) -> str:
                 flow.text('"')
             elif tag in BLOCK and tag not in ("tr", "table"):
                 flow.block(1 if tag in SPACED and not (tag in _LISTS and lists) else 0)
-            if tag == "hr":
+            if tag == "hr" and shows[-1]:
                 flow.take(["---"])
                 flow.gap = 1
             elif tag in _LISTS or tag == "dl":
-                start = _number(node.attributes.get("start", ""), 1, 10**6)
+                start = _number(node.attributes.get("start", ""), 1, 2**31 - 1)
                 lists.append([tag, start])
             elif tag == "li":
                 owner = lists[-1] if lists else ["ul", 1]
-                value = _number(node.attributes.get("value", ""), owner[1], 10**6)
+                value = _number(node.attributes.get("value", ""), owner[1], 2**31 - 1)
                 mark = f"{value}. " if owner[0] == "ol" else "- "
                 owner[1] = value + 1
                 flow.indents.append(" " * len(mark))
@@ -337,14 +449,15 @@ def render(root: Node, widest: int = 60) -> str:
                 continue
             todo.extend((c, False) for c in reversed(node.children))
             continue
-        if tag == "q":
+        shown = shows.pop()
+        if tag == "q" and shown:
             flow.text('"')
         elif tag == "pre":
             flow.end_line()
             flow.pre -= 1
         elif tag in ("td", "th") and tables:
             across = max(1, _number(node.attributes.get("colspan", ""), 1, 1000))
-            down = max(1, _number(node.attributes.get("rowspan", ""), 1, 1000))
+            down = max(1, _number(node.attributes.get("rowspan", ""), 1, 65_534))  # both limits are HTML's own
             cell = flow.done()
             flow, lists = flows.pop()
             tables[-1].rows[-1].append((cell, across, down))
@@ -385,8 +498,8 @@ def extract(pages: DataFrame, html: str = "html", widest: int = 60) -> DataFrame
     """pages without the html, with title and text (replaced where they exist).
 
     Null or empty html: empty text, null title. What is no HTML is text. Null ids and repeated rows: a row each. Pages
-    are read whole, however long or deep; a cell wider than `widest` characters is kept whole but does not widen its
-    column. Empty input: no rows.
+    are read whole, however long or deep; a tag that the page's end cuts off is dropped. A cell wider than `widest`
+    characters is kept whole but does not widen its column. Ties do not arise. Empty input: no rows.
     """
     keep = [c for c in pages.columns if c not in (html, "title", "text")]
 
@@ -407,4 +520,5 @@ def extract(pages: DataFrame, html: str = "html", widest: int = 60) -> DataFrame
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page, as `extract` defines it; nulls, long pages and empty tables likewise."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
