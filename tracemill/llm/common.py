@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,12 +14,13 @@ WORD = "[^ \\t-\\r]+"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster shares for checkpoints; a temporary one only where none is set and all is one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all workers share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracemill-"))
     return context.getCheckpointDir()
 
 
@@ -49,27 +51,45 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hot_keys(df: DataFrame, key: str, most: int) -> DataFrame:
-    """Values of key that more than `most` rows share; the counts are combined before the shuffle."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(key)
+def shield(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns that begin with __ under other names, and what gives those names back to a result."""
+    own = {c: f"kept{i}{c}" for i, c in enumerate(df.columns) if c.startswith("__")}
+    back = {new: old for old, new in own.items()}
+    return df.withColumnsRenamed(own), lambda out: out.withColumnsRenamed(back)
 
 
-def repeat_salt(df: DataFrame, key: str, most: int, to: str) -> DataFrame:
-    """Adds column `to`: 0, or a number that differs from row to row where one value of key has over `most` rows.
+def row_hash(df: DataFrame, *of: str) -> Column:
+    """A hash of the columns named, or of all: rows that tie in it are alike. Maps, which have no hash, go as JSON."""
+    names = of or df.columns
+    maps = {f.name for f in df.schema.fields if "map<" in f.dataType.simpleString()}
+    return F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in names])
 
-    The salt follows the row's place in the input files, so df must be a scan or a checkpoint. There are fewer
-    hot values than rows / most; they are broadcast while they are at most 10,000, and joined by a shuffle beyond.
+
+def occurrence(df: DataFrame, key: str, most: int, to: str, weight: Column | None = None) -> DataFrame:
+    """Adds column `to`: 0, or the number of the row among those of its key where the key's rows weigh over `most`.
+
+    weight: of a row, 1 by default. Numbers are 0, 1, 2 ... within each such key whatever way the rows are split, so that
+    alike rows get the same set of numbers in every run. Counted by key and partition first; the hot keys, fewer than the
+    weight of all rows / most, are broadcast while they are at most 10,000. df has to be a scan or a checkpoint.
     """
-    hot = settle(hot_keys(df, key, most))
+    w = F.lit(1) if weight is None else weight
+    placed = df.withColumn("__part", F.spark_partition_id())
+    hot = placed.groupBy(key).agg(F.sum(w).alias("__w"), F.count(F.lit(1)).alias("__n"))
+    hot = settle(hot.filter((F.col("__w") > most) & (F.col("__n") > 1)).select(F.col(key).alias("__hot")))
     n = hot.count()
     if n == 0:
         return df.withColumn(to, F.lit(0).cast("long"))
-    hot = hot.select(F.col(key).alias("__hot"), F.lit(True).alias("__is"))
-    placed = df.withColumn("__place", F.monotonically_increasing_id())
-    out = placed.join(F.broadcast(hot) if n <= 10_000 else hot, F.col(key).eqNullSafe(F.col("__hot")), "left")
-    return out.withColumn(
-        to, F.when(F.col("__is"), F.xxhash64("__place")).otherwise(F.lit(0)).cast("long")
-    ).drop("__hot", "__is", "__place")
+    known = F.broadcast(hot) if n <= 10_000 else hot
+    is_hot = F.col(key).eqNullSafe(F.col("__hot"))
+    counts = placed.select(key, "__part").join(known, is_hot).groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select(F.col(key).alias("__k"), F.col("__part").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__from"))
+    cold = df.join(known, is_hot, "left_anti").withColumn(to, F.lit(0).cast("long"))
+    within = Window.partitionBy(key, "__part").orderBy("__place")
+    mine = placed.withColumn("__place", F.monotonically_increasing_id()).join(known, is_hot).drop("__hot")
+    mine = mine.withColumn("__in", F.row_number().over(within) - 1)
+    mine = mine.join(starts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__part") == F.col("__q")))
+    return cold.unionByName(mine.withColumn(to, (F.col("__from") + F.col("__in")).cast("long")).select(*cold.columns))
 
 
 def running_start(df: DataFrame, group: list[str], order: str, value: str, to: str, block: int = 2048) -> DataFrame:

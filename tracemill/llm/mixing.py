@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, documents, repeat_salt, running_start, settle, word_count
+from .common import GAP, WORD, documents, occurrence, row_hash, running_start, settle, shield, word_count
 
-_OWN = ["__size", "__h", "__b", "__salt", "__start"]
+#: Tables up to this size, as measured, are broadcast.
+SMALL = 32 << 20
 
 
 def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -72,43 +73,47 @@ def mix(
     seed: int = 7,
     slopes: tuple[float, ...] = (0.5, -0.5, 0.0),
     bucket_rows: tuple[int, int] = (64, 20_000),
+    tolerance: float | None = None,
+    with_text: bool = True,
 ) -> DataFrame:
     """All rows with size, source_size, target, taken, and due_1 and due_2, the times of a document's two passes.
 
-    Within its source a document's place is by a seeded hash of doc_id and size. Words start .. start + size are its
-    first pass, the same plus source_size its second; taken is how many of them lie below the target. So a source's
-    taken words add up to its target, rounded down, one document of it being cut. due_k is null if pass k is not taken.
+    Within its source a document's place is by a seeded hash of all its columns, so only rows that are alike tie, and it
+    does not matter which of them comes first. Words start .. start + size are its first pass, the same plus source_size
+    its second; taken is how many of them lie below the target. So a source's taken words add up to its target, rounded
+    down, one document of it being cut. tolerance: the pass that crosses the target is taken whole if more than half of it
+    lies below, else left, unless its size is over this share of the target; then it is cut. due_k is null if pass k is
+    not taken. with_text False: the result has no text, and only sizes travel.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: hashes like any value. Repeated rows:
-    each has a place of its own. No words at all: targets are 0. Empty input: no rows. Columns of docs with the names
-    that are added here are replaced. docs has to be a scan or a checkpoint.
+    each has a place of its own. Very long texts: whole. No words at all: targets are 0. Empty input: no rows. Columns of
+    docs with the names that are added here are replaced; others stay. docs has to be a scan or a checkpoint.
     """
-    added = ["size", "source_size", "target", "taken", "due_1", "due_2"]
-    docs = docs.drop(*added)
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    if "text" not in docs.columns or len(docs.columns) <= 3:
-        sized = settle(sized.drop("text"))  # narrow: counted once
+    docs, restore = shield(docs.drop("size", "source_size", "target", "taken", "due_1", "due_2"))
+    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__row", row_hash(docs))
+    if not with_text:
+        sized = settle(sized.drop("text"))  # counted once
     targets = settle(source_targets(sized.select("source", "__size"), weights, share, most))
-    rows = targets.agg(F.sum("__rows")).first()[0] or 0
+    rows, n_sources, name_bytes = targets.agg(F.sum("__rows"), F.count(F.lit(1)), F.sum(F.octet_length(F.col("source").cast("string")))).first()
+    rows, held = rows or 0, 64 * n_sources + (name_bytes or 0)
     per = min(max(rows // 2048, bucket_rows[0]), bucket_rows[1])
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.pmod(F.xxhash64("__s"), F.lit(len(slopes))) + 1).cast("int"))
     known = targets.select(
         F.col("source").alias("__s"), "source_size", "target", F.ceil(F.col("__rows") / per).alias("__buckets")
     ).withColumn("__slope", slope)
-    n_sources = targets.count()
-    known = F.broadcast(known) if n_sources <= 100_000 else known  # under 100 bytes each
-    placed = repeat_salt(sized, "doc_id", bucket_rows[1], "__salt")
-    placed = placed.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "__size", "__salt"))
+    known = F.broadcast(known) if held <= SMALL else known
+    placed = occurrence(sized, "__row", bucket_rows[1], "__copy")
+    placed = placed.withColumn("__h", F.xxhash64(F.lit(seed), "__row", "__copy"))
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     placed = placed.withColumn("__b", F.pmod(F.col("__h"), F.col("__buckets")))
     sums = placed.groupBy("source", "__b").agg(F.sum("__size").alias("__sum"))
     starts = running_start(sums, ["source"], "__b", "__sum", "__before").select(
         F.col("source").alias("__s"), F.col("__b").alias("__k"), "__before"
     )
-    within = Window.partitionBy("source", "__b").orderBy("__h", "doc_id", "__size")
+    within = Window.partitionBy("source", "__b").orderBy("__h", "__row", "__size")
     inner = F.coalesce(F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n_starts = rows // per + n_sources
-    starts = F.broadcast(starts) if n_starts <= 100_000 else starts
+    longest_name = -(-(name_bytes or 0) // max(1, n_sources))  # on average
+    starts = F.broadcast(starts) if (rows // per + n_sources) * (64 + longest_name) <= SMALL else starts
     placed = (
         placed.withColumn("__inner", inner)
         .join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__k")))
@@ -119,23 +124,30 @@ def mix(
     for p in range(most):
         start = F.col("__start") + p * F.col("source_size")
         part = F.greatest(F.least(F.col("__size"), goal - start), F.lit(0))
+        if tolerance is not None:
+            rounded = F.when(2 * part > F.col("__size"), F.col("__size")).otherwise(F.lit(0))
+            part = F.when(F.col("__size") <= tolerance * F.col("target"), rounded).otherwise(part)
         taken = taken + part
         times.append(F.when(part > 0, due(start, F.col("target"), F.col("__slope"))))
-    return placed.select(
-        *[c for c in docs.columns if c in placed.columns],
-        F.col("__size").cast("long").alias("size"),
-        F.col("source_size").cast("long").alias("source_size"),
-        "target",
-        taken.cast("long").alias("taken"),
-        *[t.cast("double").alias(f"due_{p + 1}") for p, t in enumerate(times)],
+    return restore(
+        placed.select(
+            *[F.col(f"`{c}`") for c in docs.columns if c in placed.columns],
+            F.col("__size").cast("long").alias("size"),
+            F.col("source_size").cast("long").alias("source_size"),
+            "target",
+            taken.cast("long").alias("taken"),
+            *[t.cast("double").alias(f"due_{p + 1}") for p, t in enumerate(times)],
+        )
     )
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
-    """The training order: a row per pass taken, with its words and position, range-sorted by position.
+    """The training order: a row per pass taken, with its words and position, range-sorted by position, then doc_id.
 
-    The last pass of a document may be cut; its words are then fewer than its size.
+    mixed: rows of mix. The last pass of a document may be cut; its words are then fewer than its size. Columns named
+    position or words are replaced, due_1 and due_2 go. Empty input: no rows. Equal positions and ids: in any order.
     """
+    mixed, restore = shield(mixed)
     passes = F.array(
         *[
             F.struct(
@@ -148,13 +160,14 @@ def curriculum(mixed: DataFrame) -> DataFrame:
     out = mixed.withColumn("__pass", F.explode(F.filter(passes, lambda x: x["position"].isNotNull())))
     keep = [c for c in mixed.columns if c not in ("due_1", "due_2", "position", "words")]
     out = out.select(*keep, "__pass.position", "__pass.words")
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return restore(out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id"))
 
 
 def taken_texts(passes: DataFrame) -> DataFrame:
     """The texts cut to the words that their passes take; whole passes keep their text as it is.
 
-    passes: rows of curriculum with a column text. Null texts have no words, so no pass takes them.
+    passes: rows of curriculum with a column text. Null texts have no words, so no pass takes them. n_chars, if there is
+    such a column or not, is set to the length of the text. Other columns stay.
     """
     words = F.regexp_extract_all("text", F.lit(f"{GAP[:-1]}*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
@@ -164,7 +177,8 @@ def taken_texts(passes: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    """A row for each row of documents, as `mix` defines it; nulls, ties, long texts and empty tables likewise."""
+    out = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), with_text=False)
     out = out.repartitionByRange(F.col("due_1").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(
         F.col("due_1").asc_nulls_last(), "doc_id"
     )
