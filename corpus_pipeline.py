@@ -18,32 +18,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the risk-controlled cutoffs keep."""
-    narrow = settle(quality.features(docs, ["doc_id", "lang"]))
-    cutoffs = quality.fit(narrow, quality.labels_of(spark, sf_dir))
-    # a row number is not deterministic, so the filter stays above the counts and they are worked out once a row
-    featured = quality.features(docs, COLUMNS).withColumn("__row", F.monotonically_increasing_id())
-    return quality.judge(featured, cutoffs).filter(F.col("kept") & (F.col("__row") >= 0)).select(*COLUMNS)
+    """Documents that the base rule and the risk-controlled cutoffs keep; nulls, long texts and repeated rows as
+    quality.judge has them. The counts are worked out once, with the texts, and written before they are fitted."""
+    featured = settle(quality.features(docs, COLUMNS))
+    cutoffs = quality.fit(featured, quality.labels_of(spark, sf_dir))
+    return quality.judge(featured, cutoffs).filter("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words a shingle, Jaccard 0.8 or at most four differing bits."""
+    """One document of each group of near-duplicates: five words a shingle, Jaccard 0.8 or at most four differing bits.
+    Null ids and texts, ties and repeated rows as similar.keep_one has them."""
     return similar.keep_one(docs.select(*COLUMNS), shingle=5, limit=4, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced; n_chars follows the text."""
+    """All documents, personal data in their texts replaced; n_chars follows the text. Null texts stay null, n_chars too."""
     docs = docs.select(*COLUMNS)
     return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per pass that the mix takes, in training order; a pass that is cut has its first words only."""
-    return mixing.taken_texts(mixing.curriculum(mixing.mix(docs.select(*COLUMNS)))).select(*COLUMNS)
+    """A row per pass that the mix takes, in training order. Passes are taken whole or left; only a document of over 2 %
+    of its source's target is cut there, to its first words. Documents without words have no pass."""
+    mixed = mixing.mix(docs.select(*COLUMNS), tolerance=0.02)
+    return mixing.taken_texts(mixing.curriculum(mixed)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with their digests."""
+    """Token ids of every row, with their digests; null texts are empty."""
     import public_tokenizers
 
     path = public_tokenizers.path(bpe.TOKENIZER)
