@@ -177,8 +177,9 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, back: int, each: int, ta
             i, j = np.nonzero(s > -np.inf)
             out.append((m[i], m[top[i, j]], s[i, j]))
         a, b, s = (np.concatenate([o[i] for o in out]) for i in range(3))
-        _, first = np.unique(a.astype(np.int64) * len(n) + b, return_index=True)
-        return _edges(n[a[first]], n[b[first]], s[first], np.ones(len(first), bool))
+        # no more than k proposals of a task to a node can be among its k best, so hubs cost tasks * k rows at the most
+        a, b, s, new = best(a, b, s, np.ones(len(a), bool), k)
+        return _edges(n[a], n[b], s, new)
 
     proposed = lists.groupBy("task").cogroup(named.groupBy("of")).applyInArrow(introduce, _EDGE)
     aged = graph.select("u", "c", "s", F.lit(False).alias("fresh"))
@@ -186,7 +187,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, back: int, each: int, ta
 
 
 def neighbour_graph(
-    nodes: DataFrame, dim: int, k: int = 64, back: int = 64, each: int = 12, trees: int = 6, rounds: int = 6,
+    nodes: DataFrame, dim: int, k: int = 40, back: int = 32, each: int = 8, trees: int = 6, rounds: int = 6,
     enough: float = 0.02, seed: int = 9, node_rows: int = 2_000,
 ) -> DataFrame:
     """(u, c, s, fresh): for each node about its k best neighbours. Stops when a round changes few of the edges."""
@@ -243,41 +244,54 @@ def walk(queries: DataFrame, graph: DataFrame, nodes: DataFrame, rounds: int, wi
 
 
 def _least_ids(rows: DataFrame, count: int, most: int, fan: int = 8) -> DataFrame:
-    """(n, vec_id) with at most the `most` least ids of each node, by levels, so that no group of equal vectors meets in one task."""
+    """(n, vec_id) with at most the `most` least ids of each node, a row each for repeated rows; by levels, so that no
+    group of equal vectors or rows meets in one task. rows has to be a checkpoint."""
     salts = 1
     while salts * most * fan < count:
         salts *= fan
-    out = rows.select("n", "vec_id")
+    out = rows.select("n", "vec_id", F.xxhash64(F.monotonically_increasing_id()).alias("__place"))
     while True:
-        salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
-        rank = F.row_number().over(Window.partitionBy("n", salt).orderBy("vec_id"))
+        rank = F.row_number().over(Window.partitionBy("n", F.pmod(F.col("__place"), F.lit(salts))).orderBy("vec_id"))
         out = out.withColumn("__r", rank).filter(F.col("__r") <= most).drop("__r")
         if salts == 1:
-            return out
+            return out.drop("__place")
         salts //= fan
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with n, a number that equal vectors share and others do not: a seeded hash, the first without a collision."""
+    for seed in range(100):
+        out = rows.withColumn("n", F.xxhash64(F.lit(seed), "e"))
+        other = F.xxhash64(F.lit(-1 - seed), "e")
+        clash = out.groupBy("n").agg((F.min(other) != F.max(other)).alias("__two")).filter("__two")
+        if clash.isEmpty():
+            return settle(out)
+    raise RuntimeError("no seed gives each vector a number of its own")
+
+
 def search(
-    rows: DataFrame, is_query: Column, top: int = 20, walk_rounds: int = 3, wide: int = 12, pool: int = 160, **graph
+    rows: DataFrame, is_query: Column, top: int = 20, walk_rounds: int = 3, wide: int = 12, pool: int = 120, **graph
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query holds for, its `top` nearest other rows, best first,
     ties to the smaller vec_id.
 
-    rows: vec_id, embedding. Vectors that are null or zero, hold null or non-finite components, or have another length
-    than the longest take no part, nor do rows without vec_id. Equal vectors and repeated rows: each row is found as a
-    row of its own, but for a repeated row's own copies under the same id. Fewer others than top: all of them. Empty
-    input: no rows. Other columns do not matter.
+    rows: vec_id, embedding. Vectors that are null or zero or hold null or non-finite components take no part, nor do
+    rows without vec_id. Inner products need one length: vectors of another than the most frequent (of equals the
+    longest) take no part either. Equal vectors and repeated rows: each row asks and is found as a row of its own; only
+    the asking row itself is left out. Fewer others than top: all of them that the walk meets. Very long vectors: any
+    length. Empty input: no rows. Other columns do not matter.
     """
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), is_query.alias("is_query"))
     rows = rows.filter(usable(F.col("e")) & F.col("vec_id").isNotNull())
-    dim = rows.agg(F.max(F.size("e"))).first()[0] or 1
-    rows = settle(rows.filter(F.size("e") == dim).withColumn("n", F.xxhash64("e")))
+    lengths = rows.groupBy(F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("d")).first()
+    dim = lengths["d"] if lengths else 1
+    rows = numbered(rows.filter(F.size("e") == dim))
     total = rows.count()
     own = settle(nodes(rows))
     edges = neighbour_graph(own, dim, **graph)
     tasks = max(48, -(-total // 2_000))
     asked = settle(rows.filter("is_query").select("n").distinct())
-    pools = walk(asked, edges, own, walk_rounds, wide, pool, graph.get("back", 64), tasks, 1)
+    pools = walk(asked, edges, own, walk_rounds, wide, pool, graph.get("back", 32), tasks, 1)
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("s").desc(), "c"))
     near = pools.withColumn("__r", rank).filter(F.col("__r") <= 3 * top).select("u", "c")
     near = near.union(asked.select(F.col("n").alias("u"), F.col("n").alias("c")))  # rows with the query's own vector
@@ -287,18 +301,21 @@ def search(
     exact = F.aggregate(F.zip_with("__a", "__b", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     near = near.select("u", "c", exact.alias("score"))
     ids = _least_ids(rows, total, top + 1).select(F.col("n").alias("__n"), "vec_id")
-    near = near.join(ids, F.col("c") == F.col("__n")).select("u", "vec_id", "score")
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("score").desc(), "vec_id"))
+    near = near.join(ids, F.col("c") == F.col("__n")).select("u", "vec_id", "score", (F.col("c") == F.col("u")).alias("own"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("score").desc(), "vec_id", F.col("own").desc()))
     near = near.withColumn("__r", rank).filter(F.col("__r") <= top + 1)
-    lists = near.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("__r", "vec_id", "score"))).alias("near"))
+    lists = near.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("__r", "vec_id", "score", "own"))).alias("near"))
     queries = rows.filter("is_query").select(F.col("vec_id").alias("query_id"), F.col("n"))
     out = queries.join(lists, F.col("n") == F.col("u"))
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
+    itself = F.get(F.filter("near", lambda x: x["own"] & (x["vec_id"] == F.col("query_id"))), F.lit(0))["__r"]
+    out = out.withColumn("__self", F.coalesce(itself, F.lit(0)))
+    others = F.slice(F.filter("near", lambda x: x["__r"] != F.col("__self")), 1, top)
     return out.select("query_id", F.posexplode(others).alias("pos", "x")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
     )
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty rows for each query row, as `search` defines them; nulls, ties, repeated rows and empty tables likewise."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(rows, F.col("vec_id") % 20 == 0, top=20)
