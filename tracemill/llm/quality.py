@@ -1,9 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
 Each rule rejects documents whose value lies above a cutoff. The cutoffs that may be chosen are fixed beforehand; for
-each stratum, rule and cutoff the labelled documents tell how many good ones it would reject. A cutoff is admitted if
-the exact (Clopper-Pearson) upper bound on that share is within the risk allowed, at a level divided by the number of
-all cutoffs tried; of those admitted, the one that parts bad from good best is used. Where none is, the rule is off.
+each stratum, rule and cutoff the labelled documents tell how many good ones it would reject. As rejections only grow
+when a cutoff falls, the cutoffs of a rule are tested in that order: one is admitted if the exact (Clopper-Pearson) upper
+bound on the share of good documents rejected is within the risk allowed, and the first that is not ends the sequence, so
+the level need be divided by the rules and strata alone, not by the cutoffs. Of those admitted, the one that parts bad
+from good best is used. Where none is, the rule is off. Strata with too few labels for any cutoff are judged as one, by
+the cutoffs admitted on the labels of all of them together.
 """
 
 from __future__ import annotations
@@ -118,10 +121,14 @@ def _value(rule: str) -> Column:
     return F.col(top) / F.greatest(F.col(below), F.lit(1))
 
 
+#: The name under which the strata that have too few labels of their own are judged together.
+REST = "\x00rest"
+
+
 def fit(
     featured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, error: float = 0.05
 ) -> dict[str, dict[str, float]]:
-    """The admitted cutoff of each rule, by stratum.
+    """The admitted cutoff of each rule, by stratum, and under REST for the strata of too few labels, null among them.
 
     labels: doc_id, quality (1 good, 0 bad; of several rows for a document the least; null: not labelled). Only strata
     with as many good documents as a bound within the risk needs at the least come to the driver, at most 1 row for
@@ -140,42 +147,52 @@ def fit(
         for i, r in enumerate(rules)
     ]
     counts = (
-        marked.select(F.col(stratum).alias("stratum"), "__quality", F.explode(F.array(*steps)).alias("s"))
+        marked.select(F.col(stratum).cast("string").alias("stratum"), "__quality", F.explode(F.array(*steps)).alias("s"))
         .groupBy("stratum", "s.rule", "s.over")
         .agg(F.count_if(F.col("__quality") == 1).alias("good"), F.count_if(F.col("__quality") != 1).alias("bad"))
     )
-    counts = settle(counts.filter(F.col("stratum").isNotNull()))
-    strata = counts.filter(F.col("rule") == 0).groupBy("stratum").agg(F.sum("good").alias("__good"))
-    tries_each = sum(len(RULES[r][2]) for r in rules)
-    needed = math.log(tries_each / error) / -math.log1p(-risk)
-    enough = strata.filter(F.col("__good") >= needed).withColumnRenamed("stratum", "__s")
-    rows = counts.join(enough, F.col("stratum") == F.col("__s")).collect()
+    counts = settle(counts)
+    strata = counts.filter((F.col("rule") == 0) & F.col("stratum").isNotNull()).groupBy("stratum").agg(F.sum("good").alias("__good"))
+    needed = math.log(len(rules) / error) / -math.log1p(-risk)
+    enough = strata.filter(F.col("__good") >= needed).select(F.col("stratum").alias("__s"))
+    named = counts.join(enough, F.col("stratum") == F.col("__s"), "left").withColumn("name", F.coalesce("__s", F.lit(REST)))
+    rows = named.groupBy("name", "rule", "over").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    return admitted([tuple(r) for r in rows], risk, error)
+
+
+def admitted(counts: list[tuple[str, int, int, int, int]], risk: float, error: float) -> dict[str, dict[str, float]]:
+    """The cutoffs that fit() gives, from (stratum, rule, cutoffs exceeded, good documents, bad ones)."""
+    rules = list(RULES)
     by: dict[tuple[str, int], list] = {}
-    for r in rows:
-        by.setdefault((str(r["stratum"]), r["rule"]), []).append((r["over"], r["good"], r["bad"]))
-    level = error / max(1, tries_each * len({s for s, _ in by}))
-    out: dict[str, dict[str, float]] = {}
+    for name, rule, over, good, bad in counts:
+        by.setdefault((name, rule), []).append((over, good, bad))
+    level = error / max(1, len(rules) * len({s for s, _ in by}))
+    out: dict[str, dict[str, float]] = {name: {} for name, _ in by}
     for (name, i), cells in sorted(by.items()):
         n_good, n_bad = sum(c[1] for c in cells), sum(c[2] for c in cells)
         best = 0.0
         for j, cutoff in reversed(list(enumerate(RULES[rules[i]][2]))):
             lost = sum(c[1] for c in cells if c[0] > j)
             hit = sum(c[2] for c in cells if c[0] > j)
-            gain = hit / max(1, n_bad) - 10 * lost / max(1, n_good)
-            if gain > best and binomial_tail(lost, n_good, risk) <= level:
+            if not n_good or binomial_tail(lost, n_good, risk) > level:
+                break
+            gain = hit / max(1, n_bad) - 10 * lost / n_good
+            if gain > best:
                 best = gain
-                out.setdefault(name, {})[rules[i]] = cutoff
+                out[name][rules[i]] = cutoff
     return out
 
 
 def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang") -> Column:
     """True unless a rule that is on in the document's stratum rejects it."""
     passed = F.lit(True)
+    named = [s for s in cutoffs if s != REST]
+    own = F.coalesce(F.col(stratum).cast("string").isin(named), F.lit(False)) if named else F.lit(False)
     for rule in RULES:
         known = {s: c[rule] for s, c in cutoffs.items() if rule in c}
         if known:
             table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-            cutoff = F.try_element_at(table, F.col(stratum).cast("string"))
+            cutoff = F.try_element_at(table, F.when(own, F.col(stratum).cast("string")).otherwise(F.lit(REST)))
             passed = passed & ~F.coalesce(_value(rule) > cutoff, F.lit(False))
     return passed
 
@@ -183,9 +200,10 @@ def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang") -> Colu
 def judge(featured: DataFrame, cutoffs: dict[str, dict[str, float]], stratum: str = "lang") -> DataFrame:
     """Adds base_failed and kept.
 
-    Null or empty text: no words, base_failed. A stratum that is null or has too few labels: only the base rule holds.
-    Null doc_id: judged, but never labelled. Repeated rows: each is judged, and counted where it is labelled. Empty
-    input or no labels: no cutoffs. Other columns do not matter.
+    Null or empty text: no words, base_failed. A stratum that is null or has too few labels: judged with the others of
+    this sort. Values equal to a cutoff pass. Null doc_id: judged, but never labelled. Repeated rows: each is judged, and
+    counted where it is labelled. Very long texts: counted whole. Empty input or no labels: no cutoffs. Other columns
+    stay; base_failed and kept are replaced.
     """
     out = featured.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(cutoffs, stratum))
@@ -196,6 +214,7 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, as `judge` defines it; nulls, ties, long texts and empty tables likewise."""
     featured = settle(features(documents(spark, sf_dir), ["doc_id", "lang"]))
     out = judge(featured, fit(featured, labels_of(spark, sf_dir)))
     return out.select(

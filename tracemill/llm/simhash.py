@@ -99,8 +99,12 @@ def _meetings(values: np.ndarray, width: int, threshold: int) -> float:
     return total
 
 
-def allotted(sample: np.ndarray, rows: int, limit: int) -> list[tuple[list[int], int]]:
-    """Parts and their thresholds: for each number of parts, a dynamic programme over what is left of limit + 1."""
+def allotted(sample: np.ndarray, rows: int, limit: int, most_entries: int = 400) -> list[tuple[list[int], int]]:
+    """Parts and their thresholds: for each number of parts, a dynamic programme over what is left of limit + 1.
+
+    Fewer, wider parts with more probes pay off the more rows there are; no part gets a threshold for which a
+    fingerprint would have more than most_entries entries, on average.
+    """
     best = (float("inf"), [])
     scale = (rows / max(1, len(sample))) ** 2
     for parts in range(2, limit + 2):
@@ -111,6 +115,8 @@ def allotted(sample: np.ndarray, rows: int, limit: int) -> list[tuple[list[int],
             cost = {0: 0.0}
             for t in range(min(2, limit) + 1):
                 probes = 1 + len(masks(len(g), t)) / 2
+                if probes > most_entries:
+                    break
                 cost[t + 1] = 3 * rows * probes + scale * _meetings(values, len(g), t)
             step: dict[int, tuple[float, list]] = {}
             for used, (c, chosen) in rest.items():
@@ -174,20 +180,20 @@ def forest(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.nda
 
 
 def links(
-    fps: DataFrame, limit: int = 4, sample_rows: int = 20_000, plan_rows: int = 1_000_000, bucket: int = 256, block: int = 768
+    fps: DataFrame, limit: int = 4, sample_rows: int = 20_000, least_rows: int = 1_000_000, bucket: int = 256, block: int = 768
 ) -> DataFrame:
     """(a, b): links enough that their components are those of all pairs of fps that differ in at most limit bits.
 
     fps: distinct fingerprints, as a checkpoint or scan. sample_rows bounds the sample that estimates costs. The
-    thresholds are planned for a corpus of plan_rows fingerprints, whatever fps holds, so that a fingerprint has as many
-    entries in a small corpus as in a large one; more rows per plan mean fewer, wider parts and more probes. bucket is
+    thresholds are planned for the number of fingerprints there are, or for least_rows if there are fewer: below that
+    plans cost next to nothing either way, and one plan for all small inputs keeps their cost in proportion. bucket is
     the largest that is joined pair by pair, block the largest that a task compares with another at once.
     """
     rows = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()  # bounded
     if rows < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    parts = allotted(np.array([r[0] for r in sample], np.int64), plan_rows, limit)
+    parts = allotted(np.array([r[0] for r in sample], np.int64), max(rows, least_rows), limit)
     records = settle(_records(fps, parts))
     sizes = records.groupBy("part", "value").agg(
         F.count_if(~F.col("probe")).alias("__idx"), F.count(F.lit(1)).alias("__all")
@@ -233,8 +239,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFr
     """(doc_id, fp, component_id): component_id is the least doc_id that links reach, the document's own included.
 
     Null or empty text, or one without words: fingerprint 0, linked like any other. Fewer words than a shingle: the
-    whole sequence is the one shingle. Null doc_id: such a row has the component_id of the others of its component,
-    null if all are null. Repeated rows: a row each. Empty input: no rows. Other columns do not matter.
+    whole sequence is the one shingle. Very long texts: read whole. Null doc_id: such a row has the component_id of the
+    others of its component, null if all are null. Ties, that is repeated rows: a row each. Empty input: no rows. Other
+    columns do not matter.
     """
     marked = settle(fingerprints(docs, shingle))
     fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("__least")))
@@ -249,5 +256,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFr
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, as `near_duplicates` defines it; nulls, ties and empty tables likewise."""
     out = near_duplicates(documents(spark, sf_dir), shingle=4, limit=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
