@@ -188,6 +188,43 @@ def test_lm_probabilities_sum_to_one(spark):
         assert (10 ** lm.log10_probabilities(model, pairs)).sum() == pytest.approx(1.0)
 
 
+def test_lm_scores_are_those_of_modified_kneser_ney(spark):
+    rng = np.random.default_rng(11)
+    texts_ = [" ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.4, rng.integers(0, 40))) for _ in range(220)]
+    train, held = texts_[:190], texts_[190:] + ["never seen w1 words", "", None]
+    model = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    chains = [[None, *brute.words(t), "</s>"] for t in train]
+    pairs = Counter(p for c in chains for p in zip(c, c[1:]))
+    after, kinds, vocabulary = Counter(), Counter(), {w for c in chains for w in c[1:]}
+    for (a, b), n in pairs.items():
+        after[a] += n
+        kinds[b] += 1
+
+    def discount(values):
+        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0, *(k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3))]
+
+    d2, d1 = discount(pairs.values()), discount(kinds.values())
+    cut = lambda c, d: max(c - d[min(c, 3)], 0)
+    rest1 = sum(d1[min(k, 3)] for k in kinds.values()) / len(pairs)
+    lone = lambda w: cut(kinds[w], d1) / len(pairs) + rest1 / (len(vocabulary) + 1)
+
+    def probability(a, b):
+        if not after[a]:
+            return lone(b)
+        spread = sum(d2[min(n, 3)] for (x, _), n in pairs.items() if x == a)
+        return cut(pairs[a, b], d2) / after[a] + spread / after[a] * lone(b)
+
+    docs = spark.createDataFrame([(i, True, t) for i, t in enumerate(held)], "doc_id long, held_out boolean, text string")
+    for r in lm.score(docs, model).collect():
+        chain = [None, *brute.words(held[r["doc_id"]]), "</s>"]
+        want = sum(math.log10(probability(a, b)) for a, b in zip(chain, chain[1:]))
+        assert r["score"] == pytest.approx(want, rel=1e-9) and r["perplexity"] == pytest.approx(10 ** (-want / (len(chain) - 1)))
+    lm.discard(model)
+    assert not Path(model.folder).exists()
+
+
 def test_mixing(spark, awkward):
     for folder in folders(awkward):
         rows = texts(spark, folder)

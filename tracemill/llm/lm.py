@@ -6,13 +6,15 @@ pairs are dealt by a hash to shards, and each shard's task writes its sorted pai
 workers memory-map the arrays, look a block of documents' distinct pairs up in order, and add up the logarithms. Rows
 that are shuffled hold packed runs of sorted, distinct keys, so that a frequent word or pair costs one entry a block.
 
-The arrays lie below the checkpoint folder, which all workers have to see as a file path (a mounted folder).
+The arrays lie below the checkpoint folder, which all workers have to see as a file path (a mounted folder), as they are
+memory-mapped. Words are numbered in 32 bits, so that a pair is one 64-bit key; more distinct words raise an error.
 """
 
 from __future__ import annotations
 
 import math
 import os
+import shutil
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -358,9 +360,25 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def fit(train: DataFrame, shard_tokens: int = 2_000_000, block: int = 1_000_000, word_shards: int = 64) -> Model:
-    """Counts the texts of train; every task's memory is bounded by a block of words or a shard of keys."""
+def shards_for(size: int) -> int:
+    """Shards of the vocabulary for a corpus of `size` bytes: it grows like a vocabulary (Heaps' law, exponent 0.6), so
+    that what a shard gets from all tasks stays some megabytes, and few runs are shorter than their heads."""
+    return max(64, int(64 * (size / 2**29) ** 0.6))
+
+
+def discard(model: Model) -> None:
+    """Deletes the model's arrays. Scores that have not been written yet can no longer be worked out."""
+    shutil.rmtree(model.folder, ignore_errors=True)
+
+
+def fit(train: DataFrame, shard_tokens: int = 2_000_000, block: int = 1_000_000, word_shards: int | None = None) -> Model:
+    """Counts the texts of train; every task's memory is bounded by a block of words or a shard of keys.
+
+    Null and empty texts are ends alone; repeated rows count as often as they occur; no rows: a model that knows nothing.
+    """
     spark = train.sparkSession
+    if word_shards is None:
+        word_shards = shards_for(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     root = checkpoint_folder(spark)
     scheme, _, path = root.rpartition(":") if ":" in root else ("file", "", root)
     if scheme != "file":
@@ -407,11 +425,11 @@ def log10_probabilities(model: Model, pairs: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, block: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; perplexity is 10 ** (-score / n_tokens).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity, 10 ** (-score / n_tokens).
 
     docs: doc_id, held_out, text. Null or empty text: the end alone. Null doc_id and repeated rows: a row each. Words
     unknown to the model share the part kept for them. Nothing learnt: every word has the probability 1. Texts are
-    scored whole, however long. Empty input: no rows.
+    scored whole, however long. Ties do not arise. Empty input: no rows. Other columns of docs do not matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +451,8 @@ def score(docs: DataFrame, model: Model, block: int = 1_000_000) -> DataFrame:
                     pa.array(np.add.reduceat(known.astype(np.int64), begin)),
                     pa.array(np.full(len(rows), model.tokens, np.int64)),
                     pa.array(np.add.reduceat(base, begin)),
-                    pa.array(np.add.reduceat(own, begin)),
+                    pa.array(total := np.add.reduceat(own, begin)),
+                    pa.array(10 ** (-total / sizes)),
                 ],
                 names,
             )
@@ -441,9 +460,9 @@ def score(docs: DataFrame, model: Model, block: int = 1_000_000) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(docs.schema["doc_id"].dataType)]
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     return docs.select("doc_id", "held_out", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -452,5 +471,6 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, as `score` defines it; nulls, long texts and empty tables likewise."""
     docs = documents(spark, sf_dir).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return score(docs, fit(docs.filter(~F.col("held_out"))))
