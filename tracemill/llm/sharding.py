@@ -62,7 +62,8 @@ def shard(
         out = table.select([*names, _BUCKET]).take(pa.array(take))
         return out.append_column("__local", pa.array(range(table.num_rows), pa.int64()))
 
-    local = placed.groupBy(_BUCKET).applyInArrow(shuffled, schema)
+    # about a bucket a task, so that a task's reading does not grow with the corpus
+    local = placed.repartition(min(buckets, 100_000), _BUCKET).groupBy(_BUCKET).applyInArrow(shuffled, schema)
     if buckets <= 1_000_000:  # 16 bytes each
         starts = F.broadcast(starts)
     place = F.col("__start") + F.col("__local")
