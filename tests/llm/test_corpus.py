@@ -407,9 +407,9 @@ def test_similar_catches_all_pairs_of_jaccard_four_fifths(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
     want, far = one_of_each(rows)
     assert far > 20  # pairs that SimHash alone misses
-    for block in (256, 2):
+    for task in (1 << 18, 500):
         docs = spark.read.parquet(f"{tmp_path}/docs")
-        one = similar.grouped(docs.filter("doc_id IS NOT NULL"), block=block).select("component_id").distinct()
+        one = similar.grouped(docs.filter("doc_id IS NOT NULL"), task=task).select("component_id").distinct()
         same(one.collect(), want)
     same(similar.keep_one(spark.read.parquet(f"{tmp_path}/docs")).select("doc_id").collect(), want)
 
