@@ -1,48 +1,101 @@
 """Approximate nearest neighbours by the largest inner product: NN-descent and greedy graph search.
 
 Equal vectors are one node. A first graph comes from cells of random half-spaces. NN-descent then lets each node
-introduce its neighbours, and those it is a neighbour of, to each other: Spark joins bring every task the lists of its
-nodes and, once each, the vectors that these name; what is better than a node's worst neighbour is proposed to it, and
-the proposals are merged with the graph. Pairs of which both edges are old are not compared again. A query walks the
-graph from its own node's neighbours: in each round the best of its pool that have not been looked at yet give their
-neighbours. The pool's best are scored exactly, on the original vectors, in double precision.
-
-Vectors travel as bytes with a scale (8 bits a component); this bears on which nodes are found, not on scores.
+introduce its neighbours, and those it is a neighbour of, to each other: what is better than a node's worst neighbour is
+offered to it, and the offers are merged with its list. Pairs of which both edges are old are not compared again. A query
+walks the graph from its own node: in each round the best of its pool that have not been looked at yet give their lists,
+whose members are scored. The pool's best are scored exactly, on the original vectors, in double precision.
+
+Each node has a home task, by its number. Tasks send each other messages, Spark rows of packed arrays, so that an edge is
+13 bytes and not a row: a round of NN-descent is four joins of messages with the tasks' own state (who is whose
+neighbour, who needs which vectors, the vectors, the offers), a round of the walk three. A task sends a node at most as
+many backward edges and offers as the node could keep, so a hub gets a bounded message from each task. Vectors travel as
+bytes with a scale (8 bits a component); this bears on which nodes are found, not on scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
 
-_EDGE = "u long, c long, s float, fresh boolean"
+#: Kinds of messages.
+GRAPH, VECTORS, BACK, LISTS, WANT, GIVE, OFFER, POOL, LOOK, SCORE, SCORED = range(11)
+_MESSAGE = "task int, kind int, data binary, n long"
+Message = tuple[int, int, bytes, int]
 
 
-def _rows(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
+def packed(*arrays: np.ndarray) -> bytes:
+    out = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x).tobytes()
+        out += [struct.pack("<cq", x.dtype.char.encode(), len(raw)), raw]
+    return b"".join(out)
 
 
-def _vectors(table: pa.Table) -> np.ndarray:
-    """The node's vectors as floats."""
-    raw = np.frombuffer(b"".join(table.column("q").to_pylist()), np.int8).reshape(table.num_rows, -1)
-    return raw.astype(np.float32) * _rows(table, "scale").astype(np.float32)[:, None]
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n = struct.unpack_from("<cq", data, at)
+        at += struct.calcsize("<cq")
+        out.append(np.frombuffer(data, np.dtype(kind.decode()), n // np.dtype(kind.decode()).itemsize, at))
+        at += n
+    return out
 
 
-def _edges(u, c, s, fresh) -> pa.Table:
-    return pa.table(
-        [pa.array(u, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float32()), pa.array(fresh, pa.bool_())],
-        names=["u", "c", "s", "fresh"],
-    )
+def _messages(rows: list[Message]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[], [], [], []]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["task", "kind", "data", "n"])
+
+
+def home(n: np.ndarray, tasks: int) -> np.ndarray:
+    return (n.astype(np.int64).view(np.uint64) % np.uint64(tasks)).astype(np.int64)
+
+
+def sent(kind: int, to: np.ndarray, *arrays: np.ndarray) -> list[Message]:
+    """A message to each task in `to` with the rows of the arrays that go there."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    parts = np.split(order, cuts) if len(order) else []
+    return [(int(to[p[0]]), kind, packed(*(x[p] for x in arrays)), len(p)) for p in parts]
+
+
+class Inbox:
+    """The messages that a task gets."""
+
+    def __init__(self, table: pa.Table):
+        self.by: dict[int, list[list[np.ndarray]]] = defaultdict(list)
+        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
+            self.by[kind].append(unpacked(data))
+
+    def all(self, kind: int, *kinds) -> list[np.ndarray]:
+        """The arrays of all messages of a kind, put together; empty ones of these types if there are none."""
+        found = self.by.get(kind)
+        return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, k) for k in kinds]
+
+
+_EDGES = (np.int64, np.int64, np.float32, np.bool_)
+
+
+def exchanged(messages: DataFrame, tasks: int, step: Callable[[int, Inbox], list[Message]]) -> DataFrame:
+    """What each task answers to the messages it gets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _messages(step(table.column("task")[0].as_py(), Inbox(table)))
+
+    return messages.repartition(tasks, "task").groupBy("task").applyInArrow(run, _MESSAGE)
 
 
 def best(u: np.ndarray, c: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Of each u its k best distinct c; of an edge that is there already and proposed again, the old one."""
+    """Of each u its k best distinct c, u in order; of an edge that is there already and offered again, the old one."""
     order = np.lexsort((fresh, c, u))
     u, c, s, fresh = u[order], c[order], s[order], fresh[order]
     first = np.ones(len(u), bool)
@@ -50,21 +103,23 @@ def best(u: np.ndarray, c: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int)
     u, c, s, fresh = u[first], c[first], s[first], fresh[first]
     order = np.lexsort((c, -s, u))
     u, c, s, fresh = u[order], c[order], s[order], fresh[order]
-    begins = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-    rank = np.arange(len(u)) - np.repeat(begins, np.diff(np.append(begins, len(u))))
-    keep = rank < k
+    keep = _rank(u) < k
     return u[keep], c[keep], s[keep], fresh[keep]
 
 
-def _best_of(edges: DataFrame, k: int, tasks: int) -> DataFrame:
-    """Each task holds the edges of its nodes: k of the graph's and what was proposed."""
+def _rank(u: np.ndarray) -> np.ndarray:
+    """The place of each item among its equals, which stand together."""
+    begins = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+    return np.arange(len(u)) - np.repeat(begins, np.diff(np.append(begins, len(u))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=_edges([], [], [], []).schema)
-        if table.num_rows:
-            yield from _edges(*best(*(_rows(table, n) for n in ("u", "c", "s", "fresh")), k)).to_batches()
 
-    return edges.repartition(tasks, "u").mapInArrow(run, _EDGE)
+def _some(u: np.ndarray, c: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """At most `most` edges of each u, fresh ones first, then in an order of hashes."""
+    mixed = (u * np.int64(-7046029254386353131)) ^ (c * np.int64(-4417276706812531889))
+    mixed ^= mixed >> np.int64(29)
+    order = np.lexsort((mixed, ~fresh, u))
+    keep = order[_rank(u[order]) < most]
+    return u[keep], c[keep], fresh[keep]
 
 
 def usable(vector: Column) -> Column:
@@ -73,174 +128,245 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """(n, q, scale, e) for each distinct vector e: n is its hash, q its components in bytes."""
+def vectors(rows: DataFrame, tasks: int) -> DataFrame:
+    """A message of kind VECTORS for each task: its nodes' numbers in order, their components as bytes, their scales."""
     distinct = rows.groupBy("n").agg(F.first("e").alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                e = np.array(batch.column(1).to_pylist(), np.float64)
+                n = batch.column(0).to_numpy()
+                e = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
                 scale = np.abs(e).max(axis=1) / 127
                 q = np.rint(e / np.maximum(scale, 1e-300)[:, None]).astype(np.int8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(scale), batch.column(1)],
-                    ["n", "q", "scale", "e"],
-                )
+                yield from _messages(sent(VECTORS, home(n, tasks), n, q, scale.astype(np.float32))).to_batches()
+
+    def gather(task: int, box: Inbox) -> list[Message]:
+        n, q, scale = box.all(VECTORS)
+        order = np.argsort(n)
+        return [(task, VECTORS, packed(n[order], q.reshape(len(n), -1)[order], scale[order]), len(n))]
+
+    return exchanged(distinct.select("n", "e").mapInArrow(run, _MESSAGE), tasks, gather)
+
 
-    return distinct.select("n", "e").mapInArrow(run, "n long, q binary, scale double, e array<double>")
+def _vectors(box: Inbox, kind: int = VECTORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, bytes as a matrix, scales."""
+    n, q, scale = box.all(kind, np.int64, np.int8, np.float32)[:3]
+    return n, q.reshape(len(n), -1) if len(n) else np.zeros((0, 1), np.int8), scale
 
 
-def first_graph(nodes: DataFrame, count: int, dim: int, k: int, trees: int, tasks: int, seed: int, cell: int = 160) -> DataFrame:
-    """Edges among the nodes of a cell of each of several families of random half-spaces; crowded cells are split."""
+def first_graph(vectors: DataFrame, count: int, dim: int, k: int, trees: int, tasks: int, seed: int, cell: int = 160) -> DataFrame:
+    """Offers among the nodes of a cell of each of several families of random half-spaces; crowded cells are split."""
     depth = max(0, int(np.ceil(np.log2(max(1, count / cell)))))
     planes = np.random.default_rng(seed).normal(size=(trees, depth, dim)).astype(np.float32)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if batch.num_rows:
-                x = _vectors(table)
+            for data in batch.column(2).to_pylist():
+                n, q, scale = unpacked(data)
+                q = q.reshape(len(n), -1)
+                x = q.astype(np.float32)
                 for t in range(trees):
                     sign = (x @ planes[t].T > 0) @ (1 << np.arange(depth)) if depth else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sign * trees + t, pa.int64()), *batch.columns], ["cell", "n", "q", "scale"]
+                        [pa.array(sign * trees + t, pa.int64()), pa.array(n), pa.array(list(map(bytes, q)), pa.binary()), pa.array(scale)],
+                        ["cell", "n", "q", "scale"],
                     )
 
-    placed = nodes.select("n", "q", "scale").mapInArrow(cells, "cell long, n long, q binary, scale double")
+    placed = vectors.mapInArrow(cells, "cell long, n long, q binary, scale float")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell)).alias("__pieces"))
     placed = placed.join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("n"), F.col("__pieces"))).drop("__pieces")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).sort_by([("cell", "ascending"), ("piece", "ascending")])
-        if not table.num_rows:
-            return
-        x, n = _vectors(table), _rows(table, "n")
-        own, piece = _rows(table, "cell"), _rows(table, "piece")
+        n, own, piece, scale = (table.column(c).to_numpy() for c in ("n", "cell", "piece", "scale"))
+        x = np.frombuffer(b"".join(table.column("q").to_pylist()), np.int8).reshape(len(n), -1).astype(np.float32) * scale[:, None]
         cuts = np.flatnonzero((own[1:] != own[:-1]) | (piece[1:] != piece[:-1])) + 1
+        found: list[tuple] = []
         for part in np.split(np.arange(len(n)), cuts):
             if len(part) > 1:
                 s = x[part] @ x[part].T
                 np.fill_diagonal(s, -np.inf)
                 top = np.argpartition(-s, min(k, len(part) - 1) - 1, axis=1)[:, : min(k, len(part) - 1)]
-                u = np.repeat(n[part], top.shape[1])
-                yield from _edges(u, n[part][top].ravel(), np.take_along_axis(s, top, 1).ravel(), np.ones(len(u), bool)).to_batches()
-
-    linked = placed.repartition(tasks, "cell", "piece").mapInArrow(link, _EDGE)
-    return _best_of(linked, k, tasks)
-
-
-def _lists(graph: DataFrame, back: int, seed: int) -> DataFrame:
-    """(u, c, fresh): each node's neighbours and, at most `back` of them, the nodes whose neighbour it is."""
-    turned = graph.select(F.col("c").alias("u"), F.col("u").alias("c"), "fresh")
-    order = Window.partitionBy("u").orderBy(F.col("fresh").desc(), F.xxhash64("c", "u", F.lit(seed)))
-    turned = turned.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= back).drop("__r")
-    return graph.select("u", "c", "fresh").union(turned)
-
-
-def descend(graph: DataFrame, nodes: DataFrame, k: int, back: int, each: int, tasks: int, seed: int) -> DataFrame:
-    """One round of NN-descent."""
-    graph = graph.withColumn("task", F.pmod(F.xxhash64("u"), F.lit(tasks)).cast("int"))
-    lists = _lists(graph, back, seed).withColumn("task", F.pmod(F.xxhash64("u"), F.lit(tasks)).cast("int"))
-    lists = lists.groupBy("task", "u", "c").agg(F.max("fresh").alias("fresh"))
-    worst = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).alias("worst"))
-    known = nodes.select("n", "q", "scale").join(worst, F.col("n") == F.col("u"), "left").select("n", "q", "scale", "worst")
-    named = lists.select("task", F.col("c").alias("__c")).distinct().join(known, F.col("__c") == F.col("n"))
-    named = named.select(F.col("task").alias("of"), "n", "q", "scale", "worst")
-
-    def introduce(lists: pa.Table, named: pa.Table) -> pa.Table:
-        lists = lists.sort_by("u")
-        u, c, fresh = (_rows(lists, x) for x in ("u", "c", "fresh"))
-        n = _rows(named, "n")
-        if not len(n) or not len(u):
-            return _edges([], [], [], [])
+                found.append((np.repeat(n[part], top.shape[1]), n[part][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+        if found:
+            u, c, s = (np.concatenate(f) for f in zip(*found))
+            u, c, s, _ = best(u, c, s, np.ones(len(u), bool), k)
+            yield from _messages(sent(OFFER, home(u, tasks), u, c, s)).to_batches()
+
+    return placed.repartition(tasks, "cell", "piece").mapInArrow(link, _MESSAGE)
+
+
+def neighbour_graph(
+    vectors: DataFrame, count: int, dim: int, tasks: int, k: int, back: int, each: int, trees: int = 6, rounds: int = 7,
+    enough: float = 0.02, seed: int = 9,
+) -> DataFrame:
+    """Messages GRAPH and BACK for each task: for each node about its k best neighbours, and some whose neighbour it is.
+    Stops when a round changes few of the edges."""
+
+    def take(task: int, box: Inbox) -> list[Message]:
+        """The graph with the offers, and its backward edges."""
+        u, c, s, fresh = box.all(GRAPH, *_EDGES)
+        a, b, t = box.all(OFFER, *_EDGES[:3])
+        new = np.concatenate([np.zeros(len(u), bool), np.ones(len(a), bool)])
+        u, c, s, fresh = best(np.concatenate([u, a]), np.concatenate([c, b]), np.concatenate([s, t]), new, k)
+        to, of, young = _some(c, u, fresh, back)
+        return [(task, GRAPH, packed(u, c, s, fresh), int(fresh.sum())), *sent(BACK, home(to, tasks), to, of, young)]
+
+    def ask(task: int, box: Inbox) -> list[Message]:
+        """Each node's list, and whose vectors the lists need."""
+        u, c, s, fresh = box.all(GRAPH, *_EDGES)
+        a, b, young = lists_of(u, c, fresh, box, back)
+        wanted = np.unique(b)
+        want = [(t, WANT, packed(np.array([task]), *unpacked(data)), n) for t, _, data, n in sent(WANT, home(wanted, tasks), wanted)]
+        return [(task, GRAPH, packed(u, c, s, fresh), 0), (task, LISTS, packed(a, b, young), 0), *want]
+
+    def give(task: int, box: Inbox) -> list[Message]:
+        """The vectors that others need, with the worst score that still helps each."""
+        n, q, scale = _vectors(box)
+        u, c, s, fresh = box.all(GRAPH, *_EDGES)
+        worst = np.full(len(n), -np.inf, np.float32)
+        heads, begin, many = np.unique(u, return_index=True, return_counts=True)
+        full = many >= k
+        if full.any():
+            low = np.minimum.reduceat(s, begin)
+            worst[np.searchsorted(n, heads[full])] = low[full]
+        out = [(task, GRAPH, packed(u, c, s, fresh), 0)]
+        out += [(task, LISTS, packed(*m), 0) for m in box.by[LISTS]]
+        for asker, ids in box.by[WANT]:
+            at = np.searchsorted(n, ids)
+            out.append((int(asker[0]), GIVE, packed(ids, q[at], scale[at], worst[at]), len(ids)))
+        return out
+
+    def introduce(task: int, box: Inbox) -> list[Message]:
+        """Offers: of each list the pairs that better one of the two."""
+        u, c, fresh = box.all(LISTS, np.int64, np.int64, np.bool_)
+        out = [(task, GRAPH, packed(*m), 0) for m in box.by[GRAPH]]
+        n, q, scale = _vectors(box, GIVE)
+        if not len(u) or not len(n):
+            return out
+        worst = box.all(GIVE)[3]
         order = np.argsort(n)
-        n, x = n[order], _vectors(named)[order]
-        worst = named.column("worst").to_numpy().astype(np.float32)[order]
-        worst = np.where(np.isnan(worst), -np.inf, worst)
-        at = np.searchsorted(n, c)
-        out: list[tuple] = []
+        n, x, worst = n[order], q[order].astype(np.float32) * scale[order, None], worst[order]
+        at, found = np.searchsorted(n, c), []
         for part in np.split(np.arange(len(u)), np.flatnonzero(u[1:] != u[:-1]) + 1):
             m, new = at[part], fresh[part]
             s = x[m] @ x[m].T
             s[~(new[:, None] | new[None, :])] = -np.inf
             np.fill_diagonal(s, -np.inf)
             s[s <= worst[m][:, None]] = -np.inf
-            if len(m) > each:
-                top = np.argpartition(-s, each, axis=1)[:, :each]
-                s = np.take_along_axis(s, top, 1)
-            else:
-                top = np.broadcast_to(np.arange(len(m)), s.shape)
+            top = np.argpartition(-s, each, axis=1)[:, :each] if len(m) > each else np.broadcast_to(np.arange(len(m)), s.shape)
+            s = np.take_along_axis(s, top, 1)
             i, j = np.nonzero(s > -np.inf)
-            out.append((m[i], m[top[i, j]], s[i, j]))
-        a, b, s = (np.concatenate([o[i] for o in out]) for i in range(3))
-        # no more than k proposals of a task to a node can be among its k best, so hubs cost tasks * k rows at the most
-        a, b, s, new = best(a, b, s, np.ones(len(a), bool), k)
-        return _edges(n[a], n[b], s, new)
+            found.append((m[i], m[top[i, j]], s[i, j]))
+        a, b, s = (np.concatenate(f) for f in zip(*found))
+        # of a task's offers to a node no more than k can be among its k best
+        a, b, s, _ = best(a, b, s, np.ones(len(a), bool), k)
+        return out + sent(OFFER, home(n[a], tasks), n[a], n[b], s)
+
+    graph = settle(exchanged(first_graph(vectors, count, dim, k, trees, tasks, seed), tasks, take))
+    for _ in range(rounds):
+        asked = exchanged(graph, tasks, ask)
+        given = exchanged(asked.union(vectors), tasks, give)
+        graph = settle(exchanged(exchanged(given, tasks, introduce), tasks, take))
+        if (graph.filter(F.col("kind") == GRAPH).agg(F.sum("n")).first()[0] or 0) <= enough * count * k:
+            break
+    return graph
 
-    proposed = lists.groupBy("task").cogroup(named.groupBy("of")).applyInArrow(introduce, _EDGE)
-    aged = graph.select("u", "c", "s", F.lit(False).alias("fresh"))
-    return _best_of(aged.union(proposed), k, tasks)
 
+def lists_of(u: np.ndarray, c: np.ndarray, fresh: np.ndarray, box: Inbox, back: int) -> tuple[np.ndarray, ...]:
+    """(u, c, fresh) in order of u: neighbours and, at most `back` of them, the nodes whose neighbour u is."""
+    a, b, young = _some(*box.all(BACK, np.int64, np.int64, np.bool_), back)
+    u, c, fresh = np.concatenate([u, a]), np.concatenate([c, b]), np.concatenate([fresh, young])
+    order = np.lexsort((~fresh, c, u))
+    u, c, fresh = u[order], c[order], fresh[order]
+    first = np.ones(len(u), bool)
+    first[1:] = (u[1:] != u[:-1]) | (c[1:] != c[:-1])
+    return u[first], c[first], fresh[first]
 
-def neighbour_graph(
-    nodes: DataFrame, dim: int, k: int = 40, back: int = 32, each: int = 8, trees: int = 6, rounds: int = 6,
-    enough: float = 0.02, seed: int = 9, node_rows: int = 2_000,
-) -> DataFrame:
-    """(u, c, s, fresh): for each node about its k best neighbours. Stops when a round changes few of the edges."""
-    count = nodes.count()
-    tasks = max(48, -(-count // node_rows))
-    graph = settle(first_graph(nodes, count, dim, k, trees, tasks, seed))
-    for r in range(rounds):
-        graph = settle(descend(graph, nodes, k, back, each, tasks, seed + r))
-        if (graph.agg(F.count_if("fresh")).first()[0] or 0) <= enough * count * k:
-            break
-    return graph
 
+def walk(asked: DataFrame, graph: DataFrame, vectors: DataFrame, tasks: int, rounds: int, wide: int, pool: int, back: int, keep: int) -> DataFrame:
+    """(u, c, s): for each node u of `asked` (n) the `keep` best nodes c that its walk has met."""
 
-def walk(queries: DataFrame, graph: DataFrame, nodes: DataFrame, rounds: int, wide: int, pool: int, back: int, tasks: int, seed: int) -> DataFrame:
-    """(u, c, s): for each query node u the pool of the best nodes c that the walk has met."""
-    lists = settle(_lists(graph, back, seed).select(F.col("u").alias("at"), F.col("c").alias("to")).distinct())
-    found = lists.join(queries, F.col("at") == F.col("n")).select(F.col("at").alias("u"), F.col("to").alias("c"))
-    vectors = nodes.select("n", "q", "scale")
-    seen = queries.select(F.col("n").alias("u"), F.col("n").alias("c"), F.lit(0.0).cast("float").alias("s"), F.lit(False).alias("fresh")).limit(0)
+    def listed(task: int, box: Inbox) -> list[Message]:
+        u, c, _, fresh = box.all(GRAPH, *_EDGES)
+        u, c, _ = lists_of(u, c, fresh, box, back)
+        return [(task, LISTS, packed(u, c), len(u))]
 
-    def measure(pairs: pa.Table, named: pa.Table) -> pa.Table:
-        u, c, n = _rows(pairs, "u"), _rows(pairs, "c"), _rows(named, "n")
-        if not len(u) or not len(n):
-            return _edges([], [], [], [])
-        order = np.argsort(n)
-        n, x = n[order], _vectors(named)[order]
-        s = np.empty(len(u), np.float32)
-        a, b = np.searchsorted(n, u), np.searchsorted(n, c)
-        for first in range(0, len(u), 65_536):
-            i = slice(first, first + 65_536)
-            s[i] = np.einsum("ij,ij->i", x[a[i]], x[b[i]])
-        return _edges(u, c, s, np.ones(len(u), bool))
-
-    for r in range(rounds):
-        found = found.filter("u != c").withColumn("task", F.pmod(F.xxhash64("u"), F.lit(tasks)).cast("int"))
-        named = found.select("task", F.explode(F.array("u", "c")).alias("__c")).distinct()
-        named = named.join(vectors, F.col("__c") == F.col("n"))
-        named = named.select(F.col("task").alias("of"), "n", "q", "scale")
-        scored = found.groupBy("task").cogroup(named.groupBy("of")).applyInArrow(measure, _EDGE)
-        # fresh: not looked at yet
-        seen = settle(_best_of(seen.union(scored), pool, tasks))
-        if r + 1 < rounds:
-            best_first = Window.partitionBy("u").orderBy(F.col("s").desc(), "c")
-            ranked = seen.filter("fresh").withColumn("__r", F.row_number().over(best_first))
-            look = settle(ranked.filter(F.col("__r") <= wide).select("u", "c"))
-            met = look.join(lists, F.col("c") == F.col("at")).select("u", F.col("to").alias("c")).distinct()
-            old = seen.select(F.col("u").alias("__u"), F.col("c").alias("__c"))
-            found = met.join(old, (F.col("u") == F.col("__u")) & (F.col("c") == F.col("__c")), "left_anti")
-            looked = look.select(F.col("u").alias("__u"), F.col("c").alias("__c"), F.lit(True).alias("__l"))
-            seen = seen.join(looked, (F.col("u") == F.col("__u")) & (F.col("c") == F.col("__c")), "left").select(
-                "u", "c", "s", (F.col("fresh") & F.col("__l").isNull()).alias("fresh")
-            )
-    return seen.select("u", "c", "s")
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            yield from _messages(sent(POOL, home(n, tasks), n, n, np.full(len(n), np.inf, np.float32), np.ones(len(n), bool))).to_batches()
+
+    def look(task: int, box: Inbox) -> list[Message]:
+        """The pools with what was scored, and whom to look at next: the best that are fresh, that is, not looked at."""
+        u, c, s, fresh = box.all(POOL, *_EDGES)
+        a, b, t = box.all(SCORED, *_EDGES[:3])
+        new = np.concatenate([fresh, np.ones(len(a), bool)])
+        u, c, s, fresh = best(np.concatenate([u, a]), np.concatenate([c, b]), np.concatenate([s, t]), new, pool + 1)
+        at = np.flatnonzero(fresh)
+        at = at[_rank(u[at]) < wide]
+        fresh = fresh.copy()
+        fresh[at] = False
+        n, q, scale = _vectors(box)
+        row = np.searchsorted(n, u[at])
+        return [(task, POOL, packed(u, c, s, fresh), len(u)), *sent(LOOK, home(c[at], tasks), u[at], c[at], q[row], scale[row])]
+
+    def expand(task: int, box: Inbox) -> list[Message]:
+        """The members of the lists that are looked at, sent with the query to their homes."""
+        out = [(task, POOL, packed(*m), 0) for m in box.by[POOL]]
+        if LOOK not in box.by:
+            return out
+        u, c, q, scale = box.all(LOOK)
+        q = q.reshape(len(u), -1)
+        heads, members = box.all(LISTS, np.int64, np.int64)
+        low, high = np.searchsorted(heads, c), np.searchsorted(heads, c, side="right")
+        many = high - low
+        who = np.repeat(np.arange(len(u)), many)
+        at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        met = members[at]
+        keys, first = np.unique(u, return_index=True)
+        row = np.searchsorted(keys, u)[who]
+        both = np.unique(np.stack([row, met]), axis=1)
+        row, met = both[0], both[1]
+        other = keys[row] != met
+        row, met = row[other], met[other]
+        for t, _, data, n in sent(SCORE, home(met, tasks), row, met):
+            mine, ids = unpacked(data)
+            used, place = np.unique(mine, return_inverse=True)
+            out.append((t, SCORE, packed(keys[used], q[first[used]], scale[first[used]], place.astype(np.int32), ids), n))
+        return out
+
+    def score(task: int, box: Inbox) -> list[Message]:
+        out = [(task, POOL, packed(*m), 0) for m in box.by[POOL]]
+        n, q, scale = _vectors(box)
+        for u, own, size, place, ids in box.by[SCORE]:
+            x = own.reshape(len(u), -1).astype(np.float32) * size[:, None]
+            at, s = np.searchsorted(n, ids), np.empty(len(ids), np.float32)
+            for k in range(0, len(ids), 65_536):
+                part = slice(k, k + 65_536)
+                s[part] = np.einsum("ij,ij->i", x[place[part]], q[at[part]].astype(np.float32) * scale[at[part], None])
+            out += sent(SCORED, home(u[place], tasks), u[place], ids, s)
+        return out
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind == POOL:
+                    u, c, s, fresh = unpacked(data)
+                    other = u != c
+                    u, c, s, _ = best(u[other], c[other], s[other], fresh[other], keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c), pa.array(s)], ["u", "c", "s"])
+
+    lists = settle(exchanged(graph, tasks, listed))
+    state = exchanged(asked.mapInArrow(begin, _MESSAGE).union(vectors), tasks, look)
+    for _ in range(rounds):
+        scored = exchanged(exchanged(state.union(lists), tasks, expand).union(vectors), tasks, score)
+        state = settle(exchanged(scored.union(vectors), tasks, look))
+    return state.mapInArrow(ended, "u long, c long, s float")
 
 
 def _least_ids(rows: DataFrame, count: int, most: int, fan: int = 8) -> DataFrame:
@@ -270,16 +396,20 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def search(
-    rows: DataFrame, is_query: Column, top: int = 20, walk_rounds: int = 3, wide: int = 12, pool: int = 120, **graph
-) -> DataFrame:
+    rows: DataFrame, is_query: Column, top: int = 20, k: int = 64, back: int = 64, each: int = 8, rounds: int = 4, wide: int = 16,
+    pool: int = 160, node_rows: int = 2_000,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query holds for, its `top` nearest other rows, best first,
     ties to the smaller vec_id.
 
-    rows: vec_id, embedding. Vectors that are null or zero or hold null or non-finite components take no part, nor do
-    rows without vec_id. Inner products need one length: vectors of another than the most frequent (of equals the
-    longest) take no part either. Equal vectors and repeated rows: each row asks and is found as a row of its own; only
-    the asking row itself is left out. Fewer others than top: all of them that the walk meets. Very long vectors: any
-    length. Empty input: no rows. Other columns do not matter.
+    rows: vec_id, embedding. k neighbours and up to `back` backward edges a node, `each` offers a node makes for another
+    at once; a walk of `rounds` rounds, `wide` looks a round, pools of `pool`. More of any finds more and costs more.
+
+    Vectors that are null or zero or hold null or non-finite components take no part, nor do rows without vec_id. Inner
+    products need one length: vectors of another than the most frequent (of equals the longest) take no part either.
+    Equal vectors and repeated rows: each row asks and is found as a row of its own; only the asking row itself is left
+    out. Fewer others than top: all of them that the walk meets. Very long vectors: any length. Empty input: no rows.
+    Other columns do not matter.
     """
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), is_query.alias("is_query"))
     rows = rows.filter(usable(F.col("e")) & F.col("vec_id").isNotNull())
@@ -287,17 +417,16 @@ def search(
     dim = lengths["d"] if lengths else 1
     rows = numbered(rows.filter(F.size("e") == dim))
     total = rows.count()
-    own = settle(nodes(rows))
-    edges = neighbour_graph(own, dim, **graph)
-    tasks = max(48, -(-total // 2_000))
+    tasks = max(48, -(-total // node_rows))
+    own = settle(vectors(rows, tasks))
+    count = own.agg(F.sum("n")).first()[0] or 0
+    graph = neighbour_graph(own, count, dim, tasks, k, back, each)
     asked = settle(rows.filter("is_query").select("n").distinct())
-    pools = walk(asked, edges, own, walk_rounds, wide, pool, graph.get("back", 32), tasks, 1)
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("s").desc(), "c"))
-    near = pools.withColumn("__r", rank).filter(F.col("__r") <= 3 * top).select("u", "c")
+    near = walk(asked, graph, own, tasks, rounds, wide, pool, back, 3 * top).select("u", "c")
     near = near.union(asked.select(F.col("n").alias("u"), F.col("n").alias("c")))  # rows with the query's own vector
-    vectors = own.select("n", "e")
-    near = near.join(vectors.select(F.col("n").alias("__n"), F.col("e").alias("__b")), F.col("c") == F.col("__n")).drop("__n")
-    near = near.join(vectors.select(F.col("n").alias("__n"), F.col("e").alias("__a")), F.col("u") == F.col("__n")).drop("__n")
+    exactly = rows.groupBy("n").agg(F.first("e").alias("e"))
+    near = near.join(exactly.select(F.col("n").alias("__n"), F.col("e").alias("__b")), F.col("c") == F.col("__n")).drop("__n")
+    near = near.join(exactly.select(F.col("n").alias("__n"), F.col("e").alias("__a")), F.col("u") == F.col("__n")).drop("__n")
     exact = F.aggregate(F.zip_with("__a", "__b", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     near = near.select("u", "c", exact.alias("score"))
     ids = _least_ids(rows, total, top + 1).select(F.col("n").alias("__n"), "vec_id")
