@@ -415,6 +415,19 @@ def test_similar_catches_all_pairs_of_jaccard_four_fifths(spark, tmp_path):
 
 
 def test_every_query_is_named():
-    assert sorted(queries.queries()) == sorted(
-        "op1_pii op2_secrets op3_quality op4_html op5_bpe op6_lm op7_mixing op8_simhash op9_ann op10_sharding".split()
-    )
+    wanted = "op1_pii op2_secrets op3_quality op4_html op5_bpe op6_lm op7_mixing op8_simhash op9_ann op10_sharding".split()
+    assert [q for q in queries.queries() if not q.startswith("base_")] == wanted
+    assert {q for q in queries.queries() if q.startswith("base_")} == set(queries.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_base_columns_are_those_of_the_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF)
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    same([tuple(r[c] for c in order) for r in got.collect()], want.select(*[f'"{c}"' for c in order]).fetchall())

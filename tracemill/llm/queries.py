@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import base_sql
 from .ann import op9_ann
 from .bpe import op5_bpe
 from .html import op4_html
@@ -20,8 +21,8 @@ from .simhash import op8_simhash
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_pii, op2_secrets, op3_quality, op4_html, op5_bpe, op6_lm, op7_mixing, op8_simhash, op9_ann, op10_sharding]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | base_sql.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base_sql.SQL)
