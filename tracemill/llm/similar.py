@@ -3,9 +3,9 @@
 MinHash bands name the candidates: two sets of similarity 0.8 share none of the 25 bands of 5 rows with a probability of
 5e-5, closer ones with less. Each candidate is then held against the exact sets, unless the sizes alone rule it out or it
 is known by then that both are of one component: first each set against the least one of the bucket that most of its
-buckets agree on, then against the least ones of its other buckets, then the sets of buckets that still hold several
-components against each other in blocks, those of a bucket's largest component only against the others. So no pair that
-shares a bucket is left open, and no group is written out pair by pair. Texts travel, not sets: they are smaller, and
+buckets agree on, then the sets of buckets that still hold several components against each other in blocks, those of a
+bucket's largest component only against the others. So no pair that shares a bucket is left open, and no group is written
+out pair by pair. Texts travel, not sets: they are smaller, and
 each task works its sets out again.
 """
 
@@ -190,27 +190,21 @@ def grouped(docs: DataFrame, shingle: int = 5, limit: int = 4, percent: int = 80
         out = before.join(roots, F.col("label") == F.col("node"), "left")
         return settle(out.select("fp", "__least", F.coalesce("root", "label").alias("label")))
 
-    def of_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of keys as pairs of their labels."""
-        one = fp_of.join(labels.select("fp", "label"), F.col("__fp") == F.col("fp")).select("__key", "label")
-        two = one.select(F.col("__key").alias("__other"), F.col("label").alias("b_label"))
-        out = pairs.join(one, F.col("a") == F.col("__key")).join(two, F.col("b") == F.col("__other"))
-        return out.select(F.col("label").alias("a"), F.col("b_label").alias("b"), F.col("a").alias("key"), F.col("b").alias("rep"))
+    def of_labels(pairs: DataFrame) -> DataFrame:
+        """Pairs of keys as pairs of their fingerprints."""
+        two = fp_of.select(F.col("__key").alias("__other"), F.col("__fp").alias("b_fp"))
+        out = pairs.join(fp_of, F.col("a") == F.col("__key")).join(two, F.col("b") == F.col("__other"))
+        return out.select(F.col("__fp").alias("a"), F.col("b_fp").alias("b"))
 
     pairs = members.filter((F.col("key") != F.col("rep")) & _close(("size", "rep_size"), percent))
     pairs = pairs.groupBy("key", "rep").agg(F.count(F.lit(1)).alias("n"))
     first = pairs.groupBy("key").agg(F.max_by("rep", F.struct(F.col("n"), -F.col("rep"))).alias("rep"))
     labels = fps.select("fp", "__least", F.col("fp").alias("label"))
-    stars = of_labels(_stars(first, texts, shingle, percent, task), labels)
-    labels = rooted(labels, links(fps.select("fp"), limit).union(same).union(stars.select("a", "b")))
+    stars = of_labels(_stars(first, texts, shingle, percent, task))
+    labels = rooted(labels, links(fps.select("fp"), limit).union(same).union(stars))
 
-    open_ = of_labels(pairs.select(F.col("key").alias("a"), F.col("rep").alias("b")), labels).filter("a != b").select("key", "rep")
-    open_ = open_.join(first.select(F.col("key").alias("__a"), F.col("rep").alias("__b")), (F.col("key") == F.col("__a")) & (F.col("rep") == F.col("__b")), "left_anti")
-    labels = rooted(labels, of_labels(_stars(open_, texts, shingle, percent, task), labels).select("a", "b"))
-
-    # the least set of a bucket has been compared with all others there
     label_of = fp_of.join(labels.select("fp", "label"), F.col("__fp") == F.col("fp")).select("__key", "label")
-    rest = members.filter("key != rep").join(label_of, F.col("key") == F.col("__key")).select("value", "key", "label", "size")
+    rest = members.join(label_of, F.col("key") == F.col("__key")).select("value", "key", "label", "size")
     labels = rooted(labels, _blocks(rest, texts, shingle, percent, task))
     least = labels.groupBy("label").agg(F.min("__least").alias("component_id")).withColumnRenamed("label", "__label")
     named = labels.join(least, F.col("label") == F.col("__label")).select(F.col("fp").alias("__fp"), "component_id")
