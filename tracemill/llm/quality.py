@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, documents, settle, text_or_empty
+from .common import GAP, WORD, documents, settle, shield, text_or_empty, unused
 from .spans import let
 
 #: Rule: (numerator, denominator, cutoffs).
@@ -64,22 +64,28 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 3, 0).when(some, let(windows, twice)).otherwise(0)
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
+
+
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep and the counts that the rules go by, as longs."""
-    out = docs.select(*keep, text_or_empty().alias("__text"))
-    out = out.withColumn("__words", F.array_remove(F.split("__text", GAP), ""))
-    out = out.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(WORD)))
-    text = F.col("__text")
-    return out.select(
-        *keep,
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, GAP, "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__words")).cast("long").alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-    )
+    """The columns of keep and the counts that the rules go by, as longs; columns of keep named like a count are replaced."""
+    keep = [c for c in keep if c not in COUNTS]
+    whole = unused(docs, "whole")
+    rows, restore = shield(docs.select(*keep, text_or_empty().alias(whole)))
+    *keep, whole = rows.columns
+    text = F.col(whole)
+    out = rows.withColumn("__words", F.array_remove(F.split(text, GAP), ""))
+    out = out.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
+    counts = [
+        F.size("__words"),
+        F.length(F.regexp_replace(text, GAP, "")),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")),
+        F.size("__lines") - F.size(F.array_distinct("__lines")),
+        _repeat_words(F.col("__words")),
+        F.size("__lines"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")),
+    ]
+    return restore(out.select(*keep, *[c.cast("long").alias(n) for c, n in zip(counts, COUNTS)]))
 
 
 def base_failed() -> Column:
