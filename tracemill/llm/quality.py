@@ -30,6 +30,12 @@ RULES: dict[str, tuple[str, str, list[float]]] = {
 
 
 def _repeat_words(words: Column) -> Column:
+    """Words within 3-word windows that occur twice or more, in an array of words, which is worked out once: inside the
+    lambdas below it would be worked out for each window."""
+    return let(words, _covered)
+
+
+def _covered(words: Column) -> Column:
     """Words within 3-word windows that occur twice or more.
 
     Windows that differ have mostly different hashes; only if two hashes agree are the windows themselves sorted.

@@ -74,24 +74,33 @@ def battery(s: Column, alphabet: Column) -> Column:
             lambda acc, j: acc
             + let(n - F.length(F.replace(s, alphabet.substr(j, F.lit(1)), F.lit(""))), lambda c: c * c),
         )
-        chi = k / n * square - n
-        p_chi = _normal_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
         pairs = F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         pairs = F.slice(pairs, 1, F.size(codes) - 1)
         high = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + F.when(c >= k / 2, 1.0).otherwise(0.0))
-        low = n - high
-        runs = 1 + F.aggregate(
-            pairs, F.lit(0.0), lambda acc, q: acc + F.when((q["a"] >= k / 2) != (q["b"] >= k / 2), 1.0).otherwise(0.0)
-        )
-        mu = 2 * high * low / n + 1
-        spread = (mu - 1) * (mu - 2) / (n - 1)
-        p_runs = F.when(spread > 0, 2 * _normal_tail(F.abs(runs - mu) / F.sqrt(spread))).otherwise(F.lit(0.0))
         mean = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c) / n
-        total = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + (c - mean) * (c - mean))
-        lag = F.aggregate(pairs, F.lit(0.0), lambda acc, q: acc + (q["a"] - mean) * (q["b"] - mean))
-        z = (lag / total + 1 / (n - 1)) * F.sqrt(n)
-        p_lag = F.when(total > 0, 2 * _normal_tail(F.abs(z))).otherwise(F.lit(0.0))
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_lag))
+
+        def counted(y: Column) -> Column:
+            mean, pairs = y["mean"], y["pairs"]
+            runs = 1 + F.aggregate(
+                pairs, F.lit(0.0), lambda acc, q: acc + F.when((q["a"] >= k / 2) != (q["b"] >= k / 2), 1.0).otherwise(0.0)
+            )
+            total = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + (c - mean) * (c - mean))
+            lag = F.aggregate(pairs, F.lit(0.0), lambda acc, q: acc + (q["a"] - mean) * (q["b"] - mean))
+            found = F.struct(y["square"].alias("square"), y["high"].alias("high"), runs.alias("runs"), total.alias("total"), lag.alias("lag"))
+            return let(found, judged)
+
+        def judged(z: Column) -> Column:
+            chi, high = k / n * z["square"] - n, z["high"]
+            p_chi = _normal_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
+            mu = 2 * high * (n - high) / n + 1
+            spread = (mu - 1) * (mu - 2) / (n - 1)
+            p_runs = F.when(spread > 0, 2 * _normal_tail(F.abs(z["runs"] - mu) / F.sqrt(spread))).otherwise(F.lit(0.0))
+            off = (z["lag"] / z["total"] + 1 / (n - 1)) * F.sqrt(n)
+            p_lag = F.when(z["total"] > 0, 2 * _normal_tail(F.abs(off))).otherwise(F.lit(0.0))
+            return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_lag))
+
+        # worked out once each: what stands inside a lambda would be worked out for each of its elements
+        return let(F.struct(square.alias("square"), high.alias("high"), mean.alias("mean"), pairs.alias("pairs")), counted)
 
     codes = F.transform(F.split(s, ""), lambda c: F.instr(alphabet, c) - 1)
     whole = F.struct(
