@@ -11,6 +11,7 @@ not seen, isotonic regression turns scores into probabilities; a candidate is ta
 
 from __future__ import annotations
 
+import json
 import math
 from itertools import product
 
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, unused
+from .common import documents, settle, text_or_empty, unused
 from .spans import SPANS, apart, first_of_overlapping, found, let, replaced, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -277,6 +278,27 @@ def score_of(x, model: tuple[float, list[Tree]], holds, pick):
     return total
 
 
+def score_column(x: Column, model: tuple[float, list[Tree]]) -> Column:
+    """score_of as a column, for the features in order as an array. The trees are one constant that is folded over, so
+    that the plan stays small however many there are."""
+    order = list(SIZES)
+
+    def node(test, a: float, b: float) -> dict:
+        f, v, least = test or (order[0], 0, True)  # a test that always holds
+        return {"f": order.index(f), "v": v, "least": least, "a": a, "b": b if test else a}
+
+    rows = [{"t": node(top, 0.0, 0.0), "l": node(*sides[0]), "r": node(*sides[1])} for top, *sides in model[1]]
+    kind = "struct<f:int,v:int,least:boolean,a:double,b:double>"
+    trees = F.from_json(F.lit(json.dumps(rows)), f"array<struct<t:{kind},l:{kind},r:{kind}>>")
+
+    def holds(n: Column) -> Column:
+        value = F.get(x, n["f"])
+        return F.when(n["least"], value >= n["v"]).otherwise(value == n["v"])
+
+    leaf = lambda n: F.when(holds(n), n["a"]).otherwise(n["b"])
+    return F.aggregate(trees, F.lit(model[0]), lambda acc, t: acc + F.when(holds(t["t"]), leaf(t["l"])).otherwise(leaf(t["r"])))
+
+
 def calibrated(scored: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
     """(least score, probability), rising: isotonic regression of (score, yes, no) by pooling adjacent violators."""
     pools: list[list[float]] = []  # least score, yes, all
@@ -304,7 +326,8 @@ def fit(docs: DataFrame, probability: float = 0.9, folds: int = 4) -> dict[int,
     together weigh as much as the examples at the most.
     """
     held = lambda i: (F.pmod(F.xxhash64(i), F.lit(folds)) == 0).alias("held")
-    made = examples(docs.sparkSession).withColumn("c", F.explode(candidates(F.col("text"))))
+    made = settle(examples(docs.sparkSession))  # else each use of the text would make it again
+    made = made.withColumn("c", F.explode(candidates(F.col("text"))))
     right = (F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end"))
     made = _counted(made.select(held("id"), F.when(right, F.col("kind")).otherwise(-1).alias("truth"), "c"))
 
@@ -359,13 +382,13 @@ def all_spans(text: Column, models: dict[int, tuple]) -> Column:
     """Base spans and, clear of them, the candidates that the trees take; added ones have an empty m."""
 
     def taken(c: Column) -> Column:
-        holds = lambda x, t: x[t[0]] >= t[1] if t[2] else x[t[0]] == t[1]
-        pick = lambda test, a, b: F.when(test, a).otherwise(b)
-        one = lambda k, m: F.when(
-            score_of(c, m[0], holds, pick) >= m[1] - 1e-6,
-            F.struct(F.lit(k).alias("kind"), c["start"], c["end"], F.lit("").alias("m")),
-        )
-        return F.coalesce(*[one(k, m) for k, m in models.items()])
+        def first(x: Column) -> Column:
+            one = lambda k, m: F.when(
+                score_column(x, m[0]) >= m[1] - 1e-6, F.struct(F.lit(k).alias("kind"), c["start"], c["end"], F.lit("").alias("m"))
+            )
+            return F.coalesce(*[one(k, m) for k, m in models.items()])
+
+        return let(F.array(*[c[f] for f in SIZES]), first)
 
     strict = strict_spans(text)
     if not models:
