@@ -296,7 +296,7 @@ def references(d):
   round(CASE WHEN labels IS NULL THEN 0 WHEN id % 6 = 5 THEN 2 / 3 ELSE 1 END, 6) AS share FROM puzzles""")
 def labels(e):
     p = puzzle_rows(e).withColumn("labels", puzzles.parse_labels(F.col("text"), F.col("names")))
-    right = F.coalesce(F.col("labels") == F.col("solution"), F.lit(False))
+    right = puzzles.strict_correct(F.col("text"), F.col("names"), F.col("solution"))
     return p.select("id", F.col("labels").isNotNull().alias("readable"), right.alias("correct"), F.round(puzzles.share_right(F.col("labels"), F.col("solution")), 6).alias("share"))
 
 

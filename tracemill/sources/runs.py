@@ -5,7 +5,7 @@ All paths are Spark's, so any file system that Spark reads will do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,7 @@ def first_file(rows: DataFrame, by: list[str], file: str = "file") -> DataFrame:
     """Of each combination of columns the rows of its first file by name."""
     first = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(file).alias("__first"))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col(file) == F.col("__first")]
-    return rows.join(F.broadcast(first) if first.isEmpty() else first, on).drop("__first", *[f"__{c}" for c in by])
+    return rows.join(first, on).drop("__first", *[f"__{c}" for c in by])
 
 
 def read_shards(spark: SparkSession, paths: list[str], schema: str, key: str, tries: str) -> DataFrame:
@@ -160,7 +160,3 @@ def _lists(node):
         return node["__list"] if set(node) == {"__list"} else {k: _lists(v) for k, v in node.items()}
     return node
 
-
-def sequence_place(rows: DataFrame, order: str) -> DataFrame:
-    """idx from 0 within each file, by order."""
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("file").orderBy(order)) - 1)
