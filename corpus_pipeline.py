@@ -19,10 +19,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the risk-controlled cutoffs keep; nulls, long texts and repeated rows as
-    quality.judge has them. The counts are worked out once, with the texts, and written before they are fitted."""
-    featured = settle(quality.features(docs, COLUMNS))
-    cutoffs = quality.fit(featured, quality.labels_of(spark, sf_dir))
-    return quality.judge(featured, cutoffs).filter("kept").select(*COLUMNS)
+    quality.judge has them. The counts are settled without the texts, which would double the disk that all stages hold."""
+    narrow = settle(quality.features(docs, ["doc_id", "lang"]))
+    cutoffs = quality.fit(narrow, quality.labels_of(spark, sf_dir))
+    # a row number is not deterministic, so the filter stays above the counts and they are worked out once a row
+    featured = quality.features(docs, COLUMNS).withColumn("__row", F.monotonically_increasing_id())
+    return quality.judge(featured, cutoffs).filter(F.col("kept") & (F.col("__row") >= 0)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
