@@ -11,6 +11,7 @@ from .ann import op9_ann
 from .bpe import op5_bpe
 from .html import op4_html
 from .lm import op6_lm
+from .manifest import op12_manifest
 from .mixing import op7_mixing
 from .pii import op1_pii
 from .quality import op3_quality
@@ -20,7 +21,7 @@ from .simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_secrets, op3_quality, op4_html, op5_bpe, op6_lm, op7_mixing, op8_simhash, op9_ann, op10_sharding]
+    found = [op1_pii, op2_secrets, op3_quality, op4_html, op5_bpe, op6_lm, op7_mixing, op8_simhash, op9_ann, op10_sharding, op12_manifest]
     return {f.__name__: f for f in found} | base_sql.QUERIES
 
 
