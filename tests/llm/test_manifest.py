@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from tracemill.llm import manifest
 
 
+@pytest.fixture(autouse=True)
+def many_ranges(spark):
+    """Small tables stay in many ranges, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 

@@ -39,21 +39,21 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], to: str) -> D
 
 _TOTAL = {"sum": F.sum, "max": F.max, "xor": F.bit_xor}
 _BOTH = {
-    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + b,
+    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "max": F.greatest,
-    "xor": lambda a, b: F.coalesce(a, F.lit(0).cast("long")).bitwiseXOR(b),
+    "xor": lambda a, b: F.coalesce(a, F.lit(0).cast("long")).bitwiseXOR(F.coalesce(b, F.lit(0).cast("long"))),
 }
 
 
-def running(df: DataFrame, group: str, order: str, values: dict[str, tuple[str, Column]], down: bool = False) -> DataFrame:
+def running(df: DataFrame, group: str, order: str, values: dict[str, tuple[str, Column]], down: bool = False, before_it: bool = False) -> DataFrame:
     """Adds a running sum, max or xor of each value over the rows of the group up to and with each, by order.
 
     df has PART as `numbered` makes it: of a group's rows, those of lower order lie in lower or equal ranges, and only
     one group goes on from one range to the next, so the values carried over are one row a range and are broadcast.
-    down: from the last row back.
+    down: from the last row back. before_it: without the row itself.
     """
     way = F.desc if down else F.asc
-    within = Window.partitionBy(PART, group).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(PART, group).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1 if before_it else 0)
     before = Window.partitionBy(group).orderBy(way(PART)).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     totals = df.groupBy(group, PART).agg(F.count(F.lit(1)).alias("__n"), *[_TOTAL[f](v).alias(f"__t_{to}") for to, (f, v) in values.items()])
     carried = totals.select(

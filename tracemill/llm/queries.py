@@ -18,10 +18,11 @@ from .quality import op3_quality
 from .secrets import op2_secrets
 from .sharding import op10_sharding
 from .simhash import op8_simhash
+from .trie import op11_trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_secrets, op3_quality, op4_html, op5_bpe, op6_lm, op7_mixing, op8_simhash, op9_ann, op10_sharding, op12_manifest]
+    found = [op1_pii, op2_secrets, op3_quality, op4_html, op5_bpe, op6_lm, op7_mixing, op8_simhash, op9_ann, op10_sharding, op11_trie, op12_manifest]
     return {f.__name__: f for f in found} | base_sql.QUERIES
 
 
