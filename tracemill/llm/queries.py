@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import base_sql
 from .ann import op9_ann
 from .bpe import op5_bpe
+from .egojoin import op13_neardup
 from .html import op4_html
 from .lm import op6_lm
 from .manifest import op12_manifest
@@ -22,7 +23,7 @@ from .trie import op11_trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_secrets, op3_quality, op4_html, op5_bpe, op6_lm, op7_mixing, op8_simhash, op9_ann, op10_sharding, op11_trie, op12_manifest]
+    found = [op1_pii, op2_secrets, op3_quality, op4_html, op5_bpe, op6_lm, op7_mixing, op8_simhash, op9_ann, op10_sharding, op11_trie, op12_manifest, op13_neardup]
     return {f.__name__: f for f in found} | base_sql.QUERIES
 
 
