@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base_sql
+from . import base_sql, graph_sql
 from .ann import op9_ann
 from .bpe import op5_bpe
 from .egojoin import op13_neardup
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(base_sql.SQL)
+    return base_sql.SQL | graph_sql.SQL
