@@ -414,10 +414,20 @@ def test_similar_catches_all_pairs_of_jaccard_four_fifths(spark, tmp_path):
     same(similar.keep_one(spark.read.parquet(f"{tmp_path}/docs")).select("doc_id").collect(), want)
 
 
+def test_copies_in_files_of_one_name(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(60))
+    for part, rows in (("a", [(1, text), (2, "another one here")]), ("b", [(3, "a third text"), (4, text + " more"), (1, text)])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/made/{part}")
+        (tmp_path / f"docs/p={part}").mkdir(parents=True)
+        next((tmp_path / f"made/{part}").glob("*.parquet")).rename(tmp_path / f"docs/p={part}/part-0.parquet")
+    kept = similar.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
+
+
 def test_every_query_is_named():
-    wanted = "op1_pii op2_secrets op3_quality op4_html op5_bpe op6_lm op7_mixing op8_simhash op9_ann op10_sharding".split()
+    wanted = "op1_pii op2_secrets op3_quality op4_html op5_bpe op6_lm op7_mixing op8_simhash op9_ann op10_sharding op11_trie op12_manifest op13_neardup".split()
     assert [q for q in queries.queries() if not q.startswith("base_")] == wanted
-    assert {q for q in queries.queries() if q.startswith("base_")} == set(queries.oracle_sql())
+    assert {q for q in queries.queries() if q.startswith("base_")} | set(wanted[10:]) == set(queries.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -425,7 +435,8 @@ def test_base_columns_are_those_of_the_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, SF)
     order = sorted(got.columns)

@@ -214,20 +214,15 @@ def grouped(docs: DataFrame, shingle: int = 5, limit: int = 4, percent: int = 80
 def keep_one(docs: DataFrame, shingle: int = 5, limit: int = 4, percent: int = 80) -> DataFrame:
     """One whole row of each component: that of the least doc_id, null last; of its rows the first by place.
 
-    docs has to be read straight from Parquet files: a row is known by its file and its number there. Null texts and
-    texts without words are one component. Very long texts: read whole. Ties, that is repeated rows: one stays. Empty
-    input: no rows. All columns stay, those named like this function's own as well.
+    docs has to be read straight from Parquet files: a row is known by its id, a hash of its file's whole path and its
+    number there. Null texts and texts without words are one component. Very long texts: read whole. Ties, that is
+    repeated rows: one stays. Empty input: no rows. All columns stay, those named like this function's own as well.
     """
     docs, restore = shield(docs)
-    place = [
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
-        F.col("_metadata.row_index").alias("row"),
-    ]
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *place)
     groups = grouped(docs.select(first.alias("doc_id"), "text"), shingle, limit, percent)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id.file").alias("__file"), F.col("doc_id.row").alias("__row")
-    )
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(*[F.col(f"doc_id.{c}").alias(f"__{c}") for c in ("file", "row", "id")])
     placed = docs.select("*", place[0].alias("__f"), place[1].alias("__r"))
-    on = (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row"))
+    on = (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     return restore(placed.join(kept, on, "left_semi").drop("__f", "__r"))
