@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, markers, puzzles, stats, text
+from tracemill.functions import alignment, answers, copies, markers, puzzles, stats, text
 from tracemill.operators import assembly, extend, ordered
 from tracemill.operators.common import scratch
 from tracemill.plans import catalog
@@ -145,23 +145,103 @@ def test_puzzle_labels(spark):
     assert len({tuple(v) for v in five}) == 31 and [True] * 5 not in five
 
 
-def test_alignment():
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def best_window(s, t, cutoff):
+    """Every window tried."""
+    if not s or not t:
+        return 0.0, 0
+    if s in t:
+        return 100.0, t.find(s)
+
+    def best(needle, text):
+        places = range(1 - len(needle), len(text))
+        windows = [(max(0, i), min(len(text), i + len(needle))) for i in places]
+        scores = [(200 * common_subsequence(needle, text[a:b]) / (len(needle) + b - a), -a) for a, b in windows]
+        return max(scores)
+
+    found = []
+    if len(s) <= len(t):
+        score, at = best(s, t)
+        found.append((score, -at))
+    if len(s) >= len(t):
+        found.append((best(t, s)[0], 0))
+    score, at = max(found, key=lambda x: x[0])
+    return (score, at) if score >= cutoff and score > 0 else (0.0, 0)
+
+
+def test_alignment_tries_all_windows():
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(80):
+        letters = "abcde \u00e9"[: rng.choice([2, 4, 7])]
+        t = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 90)))
+        shorts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 100))) for _ in range(3)]
+        x = list(t[len(t) // 3 : len(t) // 3 + 70])
+        for _ in range(min(3, len(x))):
+            x[rng.randrange(len(x))] = "z"
+        pairs.append(([*shorts, "".join(x)], t))
+    for cutoff in (0, 70.0):
+        got = alignment.align(pairs, cutoff)
+        want = [[best_window(s, t, cutoff) for s in shorts] for shorts, t in pairs]
+        assert got == [[(pytest.approx(a), b) for a, b in w] for w in want]
+    long = "".join(rng.choice("abcdef") for _ in range(700))  # needles of more words than are counted at once
+    other = "x" * 50 + long[:300] + "yy" + long[300:] + "x" * 60
+    (((score, at),),) = alignment.align([([long], other)], 50.0)
+    assert (score, at) == best_window(long, other, 50.0)
+
+
+def test_alignment_of_rows(spark):
+    df = spark.createDataFrame([(1, [f"unit number {i} of many" for i in range(150)], "unit number 7 of many, unit number 99 of Many"), (2, None, "x"), (3, [None, "abc"], None)], "k int, s array<string>, t string")
+    got = {(r["k"], r["m"]["at"]): (r["m"]["score"], r["m"]["start"]) for r in alignment.aligned(df, "s", "t", 90.0, "m", chunk=40).collect()}
+    assert len(got) == 152 and got[1, 7] == (100.0, 0) and got[1, 99] == (pytest.approx(100 * 42 / 44), 23) and got[3, 0] == got[3, 1] == (0.0, 0)
     before = "The first long sentence is here. The second long sentence is there. The third long sentence ends it."
     after = "The third long sentence ends it. The first long sentence is here. The second long sentence is there."
-    assert alignment.order_changes(before, after, ["The third long sentence ends it."]) == (3, 1, 1, 1)
+    rows_ = spark.createDataFrame([(1, before, after, ["The 3rd long sentence ends it.", "short"]), (2, before, after, ["The first long sentence is here."])], "k int, a string, b string, s array<string>")
+    assert {r["k"]: r["hoisted"] for r in alignment.hoisted(rows_, ["k"], "a", "b", "s").collect()} == {1: 1, 2: 0}
+    assert sorted(map(tuple, alignment.lexical_match(rows_, ["k"], "a", "b").collect())) == [(1, 3, 3), (2, 3, 3)]
+
+
+def longest_rise(v):
+    best = [0] * len(v)
+    for i in range(len(v)):
+        best[i] = 1 + max((best[j] for j in range(i) if v[j] < v[i]), default=0)
+    return max(best, default=0)
+
+
+def test_rises(spark):
     rng = random.Random(6)
-    for _ in range(200):
-        v = [rng.randint(0, 9) for _ in range(rng.randint(0, 9))]
-        best = 0
-        for mask in range(1 << len(v)):
-            sub = [x for i, x in enumerate(v) if mask >> i & 1]
-            best = max(best, len(sub) if all(p < q for p, q in zip(sub, sub[1:])) else 0)
-        assert alignment.longest_rise(v) == best
+    lists = [[rng.randint(0, 9) for _ in range(rng.randint(0, 14))] for _ in range(200)]
+    got = rows(spark, list(enumerate(lists)), "i int, v array<int>").select("i", ordered.rise(F.col("v")).alias("n")).collect()
+    assert [r["n"] for r in sorted(got)] == [longest_rise(v) for v in lists]
+
+
+def test_later_copies_go_where_they_are_sentences(spark):
     s = "The answer has to be even."
-    assert alignment.without_copies(f"We see. {s}", f"{s} We see. {s}", [s]) == (f"{s} We see.", 1, 0)
-    assert alignment.without_copies(f"We see. {s}", f"{s} We see that {s[:-1]} or not.", [s[:-1]]) == (f"{s} We see that {s[:-1]} or not.", 0, 1)
-    assert alignment.without_copies(f"{s} {s}", f"{s} {s}", [s]) == (f"{s} {s}", 0, 0)
-    assert alignment.aligned("abcdef", "xxabcdefxx") == (100.0, -2)
+    cases = [
+        (f"We see. {s}", f"{s} We see. {s}", [s], f"{s} We see.", 1, 0),
+        (f"We see. {s}", f"{s} We see that {s[:-1]} or not.", [s[:-1]], None, 0, 1),
+        (f"{s} {s}", f"{s} {s}", [s], None, 0, 0),
+        (s, f"{s} So, we know {s} {s} End.", [s, s], f"{s} End.", 2, 0),  # a lead-in goes too
+        (s, f"{s} Since one two three four five {s}", [s], None, 0, 1),
+        (s, f"{s}\n\n{s}\n\nNext.", [s], f"{s}\n\nNext.", 1, 0),
+        (f"x {s[:-1]}! y", f"{s[:-1]}. {s[:-1]}! (Then) z", [s[:-1]], f"{s[:-1]}. (Then) z", 1, 0),
+        (s, f"{s} Well {s[:-1]}.5 {s}", [s[:-1]], None, 0, 2),
+        (s, f"{s} Well {s[:-1]}.5 is. {s}", [s[:-1]], f"{s} Well {s[:-1]}.5 is.", 1, 1),
+        ("a \\E b is never an easy thing.", "a \\E b is never an easy thing. a \\E b is never an easy thing.", ["a \\E b is never an easy thing."], "a \\E b is never an easy thing.", 1, 0),
+        (s, f"{s} {s}", ["short", None, "not in the first text at all"], None, 0, 0),
+        (None, None, None, "", 0, 0),
+    ]
+    df = rows(spark, [(i, a, b, c) for i, (a, b, c, *_) in enumerate(cases)], "i int, a string, b string, c array<string>")
+    got = {r["i"]: tuple(r["x"]) for r in df.select("i", copies.without_copies(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()}
+    assert got == {i: (b if want is None else want, removed, left) for i, (_, b, _, want, removed, left) in enumerate(cases)}
 
 
 def test_statistics(spark):

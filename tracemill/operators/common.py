@@ -31,6 +31,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer partitions than there are cores, as a table of one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def asserted(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """df; running it fails with the message at the first row for which condition is not true."""
     return df.filter(F.when(condition, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

@@ -141,3 +141,13 @@ def half(rank: Column, n: Column) -> Column:
     """1 for the first ceil(n / 2) places, 2 for the rest."""
     return F.when(rank < F.ceil(n / 2), 1).otherwise(2)
 
+
+
+def rise(values: Column) -> Column:
+    """Length of the longest strictly rising subsequence of an array: the least ends of rises of each length, one by one."""
+
+    def put(ends: Column, v: Column) -> Column:
+        at = F.size(F.filter(ends, lambda e: e < v))
+        return F.concat(F.slice(ends, F.lit(1), at), F.array(v), F.slice(ends, at + 2, F.greatest(F.size(ends) - at - 1, F.lit(0))))
+
+    return F.size(F.aggregate(values, F.slice(values, 1, 0), put))

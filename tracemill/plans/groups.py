@@ -232,14 +232,8 @@ def segmented(d):
 @query("w12_lis", "events", sql=None)
 def rise(e):
     """For each user how many events are out of order by value, in order of id: all less the longest rise."""
-    from tracemill.functions.alignment import longest_rise
-
-    @F.pandas_udf("int")
-    def moved(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: len(v) - longest_rise(list(v)))
-
     lists = e.filter("value IS NOT NULL").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("l"))
-    return lists.select("user_id", moved(F.transform("l", lambda x: x["value"])).alias("moved"))
+    return lists.select("user_id", (F.size("l") - ordered.rise(F.transform("l", lambda x: x["value"]))).alias("moved"))
 
 
 @query("w15_w16_s2_s4_orders", "part", sql="""WITH p AS (SELECT p_partkey, 'p_' || (p_partkey % 50) AS id, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS len FROM part)

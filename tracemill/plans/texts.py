@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, markers, puzzles, text
+from tracemill.functions import alignment, answers, copies, markers, puzzles, text
+from tracemill.operators import ordered
+from tracemill.operators.common import spread
 
 from .fixtures import PUZZLES, TRACES, quoted, traces
 from .fixtures import puzzles as puzzle_rows
@@ -135,32 +137,69 @@ def reason_counts(d):
     return fails.groupBy(F.split_part("x", F.lit(":"), F.lit(1)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t12_t14_units", "documents", sql=f"""WITH {TRACES}, u AS (SELECT idx, rewrite, {_UNITS('output')} AS u FROM traces)
-  SELECT idx, len(u) AS units, len(list_filter(u, lambda x: contains(rewrite, x))) AS found FROM u""")
+@query("t12_t14_units", "documents", sql=None)
 def unit_match(d):
-    m = traces(d).select("idx", text.verbatim_match(F.col("output"), F.col("rewrite")).alias("m"))
+    """Units of a trace that its rewrite holds with a similarity of 70 or more."""
+    return alignment.lexical_match(traces(d), ["idx"], "output", "rewrite")
+
+
+@query("t12_verbatim_units", "documents", sql=f"""WITH {TRACES}, u AS (SELECT idx, rewrite, {_UNITS('output')} AS u FROM traces)
+  SELECT idx, len(u) AS units, len(list_filter(u, lambda x: contains(rewrite, x))) AS found FROM u""")
+def verbatim_units(d):
+    m = spread(traces(d)).select("idx", text.verbatim_match(F.col("output"), F.col("rewrite")).alias("m"))
     return m.select("idx", F.col("m.units").cast("long").alias("units"), F.col("m.found").cast("long").alias("found"))
 
 
-@query("t13_t15_alignment", "conversations", sql=None)
-def aligned(c):
-    """Each turn's text against itself with its last two sentences first: similarity, order and verbatim copies."""
-    parts = F.split("text", r"(?<=[.!?])\s+")
-    n = F.size(parts)
-    turned = F.array_join(F.concat(F.slice(parts, F.greatest(n - 1, F.lit(1)), F.lit(2)), F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0)))), " ")
-    rows = c.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("a"), F.coalesce(turned, F.lit("")).alias("b"), F.slice(parts, -1, 1).alias("subs"))
-    match, order = alignment.lexical_match(), alignment.reorder_stats()
-    rows = rows.select("conv_id", "turn", match("a", "b").alias("m"), order("a", "b", "subs").alias("o"))
-    return rows.select("conv_id", "turn", "m.found", "m.units", "o.located", "o.moved", "o.subs", "o.hoisted")
-
-
-@query("t24_w20_copies", "conversations", sql=None)
-def copies(c):
-    """Each turn's first sentence put before and after its text: the later copy goes where it is a whole sentence."""
-    head = F.get(F.split("text", r"(?<=[.!?])\s+"), F.lit(0))
-    rows = c.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("a"), F.concat_ws(" ", head, "text", head).alias("b"), F.array(F.coalesce(head, F.lit(""))).alias("s"))
-    rows = rows.select("conv_id", "turn", alignment.dedup_verbatim_copies()("a", "b", "s").alias("x"))
-    return rows.select("conv_id", "turn", F.md5(F.col("x.text").cast("binary")).alias("digest"), "x.removed", "x.left")
+@query("t13_t14_aligned_units", "conversations", sql=None)
+def unit_scores(c):
+    """Each sentence of a turn against the turn with its words thinned out and its halves exchanged: similarity and place."""
+    words = F.split("text", " ")
+    thin = F.filter(words, lambda w, i: i % 9 != 8)
+    half = F.floor(F.size(thin) / 2).cast("int")
+    turned = F.array_join(F.concat(F.slice(thin, half + 1, F.size(thin)), F.slice(thin, F.lit(1), half)), " ")
+    rows = c.select("conv_id", "turn", text.units(F.col("text")).alias("units"), turned.alias("other"))
+    m = alignment.aligned(rows, "units", "other", 50.0, "m")
+    return m.select("conv_id", "turn", F.col("m.at").alias("unit"), F.round("m.score", 6).alias("score"), "m.start")
+
+
+@query("t15_reorder", "conversations", sql=f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS a, regexp_split_to_array(coalesce(text, ''), ' ') AS w FROM conversations),
+  t AS (SELECT conv_id, turn, a, array_to_string(w[len(w) // 2 + 1:], ' ') || ' ' || array_to_string(w[:len(w) // 2], ' ') AS b, {_UNITS('a')} AS u FROM p),
+  x AS (SELECT conv_id, turn, list_filter(list_transform(u, lambda s: instr(b, s)), lambda k: k > 0) AS places FROM t),
+  l AS (SELECT conv_id, turn, places, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(places, lambda k: [k])), lambda d, k: list_append(d, 1 + coalesce(list_max(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN places[i] < k[1] THEN d[i] END)), 0))) AS d FROM x)
+  SELECT conv_id, turn, len(places) AS located, len(places) - coalesce(list_max(d), 0) AS moved FROM l""")
+def reordered(c):
+    """Each turn's sentences in the turn with its halves exchanged: how many are found, how many out of their order."""
+    w = F.split(F.coalesce("text", F.lit("")), " ")
+    half = F.floor(F.size(w) / 2).cast("int")
+    turned = F.concat(F.array_join(F.slice(w, half + 1, F.size(w)), " "), F.lit(" "), F.array_join(F.slice(w, F.lit(1), half), " "))
+    rows = spread(c).select("conv_id", "turn", text.units(F.col("text")).alias("units"), turned.alias("b"))
+    places = F.filter(F.transform("units", lambda u: F.instr(F.col("b"), u)), lambda k: k > 0)
+    out = rows.withColumn("places", places)
+    return out.select("conv_id", "turn", F.size("places").alias("located"), (F.size("places") - ordered.rise(F.col("places"))).alias("moved"))
+
+
+@query("t15_hoisted", "conversations", sql="""WITH p AS (SELECT conv_id, turn, text AS a, array_to_string(list_reverse(string_split(text, '. ')), '. ') AS b, list_distinct(list_filter(string_split(text, '. '), lambda s: length(s) >= 20)) AS s FROM conversations WHERE text IS NOT NULL),
+  u AS (SELECT conv_id, turn, a, b, unnest(s) AS s FROM p) SELECT conv_id, turn, count(*) FILTER ((instr(b, s) - 1) / length(b) < (instr(a, s) - 1) / length(a) - 0.05) AS hoisted FROM u GROUP BY conv_id, turn""")
+def hoists(c):
+    """Each turn's pieces in the turn with its pieces in reverse: those that stand earlier by more than 5 %."""
+    pieces = F.split("text", r"\. ")
+    rows = c.filter(F.col("text").isNotNull()).select("conv_id", "turn", F.col("text").alias("a"), F.array_join(F.reverse(pieces), ". ").alias("b"), F.array_distinct(pieces).alias("s"))
+    return alignment.hoisted(rows, ["conv_id", "turn"], "a", "b", "s")
+
+
+@query("t24_w20_copies", "conversations", sql=r"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS a, coalesce(regexp_extract(text, '^(.*?[.!?])(?:\s|$)', 1, 's'), '') AS h FROM conversations),
+  h AS (SELECT *, CASE WHEN length(h) >= 20 THEN len(string_split(a, h)) - 1 ELSE 0 END AS k FROM p)
+  SELECT conv_id, turn, CASE WHEN k = 1 THEN 2 ELSE NULL END AS removed, CASE WHEN k = 1 THEN 0 END AS left_over, CASE WHEN k = 1 THEN md5(h || CASE WHEN length(a) > length(h) THEN regexp_replace(substr(a, length(h) + 1), '^[ \t]+', ' ') ELSE '' END) END AS digest FROM h WHERE k <= 1""")
+def copies_of_heads(c):
+    """Each turn's first sentence before and after it: the copies behind the first one go. Turns that hold it once."""
+    a = F.coalesce("text", F.lit(""))
+    head = F.regexp_extract(a, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
+    rows = spread(c).select("conv_id", "turn", a.alias("a"), head.alias("h"))
+    known = F.when(F.length("h") >= 20, copies.occurrences(F.col("a"), F.col("h"))).otherwise(0)
+    rows = rows.withColumn("k", known).filter("k <= 1").withColumn("b", F.concat_ws(" ", "h", "a", "h"))
+    rows = rows.select("conv_id", "turn", "k", copies.without_copies(F.col("a"), F.col("b"), F.array("h")).alias("x"))
+    one = F.col("k") == 1
+    return rows.select("conv_id", "turn", F.when(one, F.col("x.removed")).alias("removed"), F.when(one, F.col("x.left")).alias("left_over"), F.when(one, F.md5(F.col("x.text").cast("binary"))).alias("digest"))
 
 
 @query("t16_t20_scratchpad", "documents", sql=f"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '<think>' || text || '</think>' || chr(10) || ' answer ' || doc_id || ' ' ELSE 'a</think> b </think>' || doc_id END AS t FROM documents)
