@@ -278,10 +278,15 @@ def strip_think(text: Column) -> Column:
 
 
 def _grams(w: Column, n: int) -> Column:
-    """A 64-bit hash of each n-word window of an array of words; none if there are fewer words."""
-    window = lambda h, i: F.xxhash64(*[F.get(h, i + j) for j in range(n)])
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: i <= F.size(w) - n)
-    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(at, lambda i: window(h, i)))
+    """A 64-bit hash of each n-word window of an array of words; none if there are fewer words.
+
+    Hashes of windows are made of those of two shorter ones, which overlap unless n is twice their length.
+    """
+    if n == 1:
+        return F.transform(w, lambda x: F.xxhash64(x))
+    half = (n + 1) // 2
+    at = lambda h: F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - (n - half) - 1, F.lit(0))), lambda i: i < F.size(h) - (n - half))
+    return let(_grams(w, half), lambda h: F.transform(at(h), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + n - half))))
 
 
 def _ratio(w: Column, n: int) -> Column:
@@ -295,17 +300,35 @@ def repetition_ratio(text: Column, n: int = 4) -> Column:
     return let(words(text), lambda w: _ratio(w, n))
 
 
+def _before(values: Column) -> Column:
+    """For each place of an array, the last place before it that holds the same value, -1 if there is none."""
+    placed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    last = lambda s, x, k: F.when((k > 0) & (F.get(s, k - 1)["v"] == x["v"]), F.get(s, k - 1)["i"]).otherwise(-1)
+    back = let(placed, lambda s: F.sort_array(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), last(s, x, k).alias("before")))))
+    return F.transform(back, lambda x: x["before"])
+
+
+def loop_onset(w: Column, least: float = 0.60, window: int = 400, step: int = 100, n: int = 8) -> Column:
+    """Where the first window of an array of words begins that repeats itself: fewer of its n-word windows than `least`
+    of all are distinct. Null if there is none. Windows begin every `step` words, the last one before the end.
+
+    A window's distinct values are its places whose value has not occurred since the window began, so one array of previous
+    places serves all windows. Windows behind the first bad one are not looked at.
+    """
+    inside = window - n + 1
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - window - 1, F.lit(0)), F.lit(step)), lambda i: i < F.size(w) - window)
+    distinct = lambda p, i: F.size(F.filter(F.slice(p, i + 1, F.lit(inside)), lambda b: b < i))
+    first = lambda p: F.aggregate(starts, F.lit(None).cast("int"), lambda a, i: F.when(a.isNotNull(), a).when(distinct(p, i) < least * inside, i))
+    return let(_before(_grams(w, n)), first)
+
+
 def clean_prefix(text: Column, least: float = 0.60, min_words: int = 400, window: int = 400, step: int = 100) -> Column:
     """The text's words up to the first window that repeats itself (8-word windows), cut at the last sentence end if
     that lies in its second half; null with fewer than min_words left, or if the rest repeats itself (12 words)."""
 
     def cut(w: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - window - 1, F.lit(0)), F.lit(step)), lambda i: i < F.size(w) - window)
-        inside = window - 8 + 1
-        bad = lambda g: F.filter(starts, lambda i: F.size(F.array_distinct(F.slice(g, i + 1, F.lit(inside)))) < least * inside)
-        first = let(_grams(w, 8), lambda g: F.get(bad(g), F.lit(0)))
         kept = lambda at: F.when(at >= min_words, F.array_join(F.slice(w, F.lit(1), at), " "))
-        return F.when(F.size(w) >= min_words, let(F.coalesce(first, F.size(w)), kept))
+        return F.when(F.size(w) >= min_words, let(F.coalesce(loop_onset(w, least, window, step), F.size(w)), kept))
 
     def ended(t: Column) -> Column:
         b = F.length(t) - F.length(F.substring_index(t, ". ", -1)) - 1
@@ -319,10 +342,14 @@ def clean_prefix(text: Column, least: float = 0.60, min_words: int = 400, window
 def build_output(mode: Column, reasoning: Column, content: Column) -> Column:
     """A training target: the content alone for the modes style and verbose; else reasoning and content, or reasoning
     alone if it does not repeat itself, or its clean beginning; null if nothing is left."""
-    r, c = strip_think(F.coalesce(reasoning, F.lit(""))), strip_think(F.coalesce(content, F.lit("")))
-    joined = F.when(r == "", c).otherwise(F.concat(r, F.lit("\n\n"), c))
-    alone = F.when(repetition_ratio(r, 12) >= 0.60, r).otherwise(clean_prefix(r))
-    return F.when(mode.isin("style", "verbose"), F.nullif(c, F.lit(""))).when(c != "", joined).when(r != "", alone)
+    both = F.struct(*[strip_think(F.coalesce(x, F.lit(""))).alias(n) for x, n in ((reasoning, "r"), (content, "c"))])
+
+    def joined(x: Column) -> Column:
+        r, c = x["r"], x["c"]
+        alone = F.when(repetition_ratio(r, 12) >= 0.60, r).otherwise(clean_prefix(r))
+        return F.when(c != "", F.when(r == "", c).otherwise(F.concat(r, F.lit("\n\n"), c))).when(r != "", alone)
+
+    return let(both, lambda x: F.when(mode.isin("style", "verbose"), F.nullif(x["c"], F.lit(""))).otherwise(joined(x)))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

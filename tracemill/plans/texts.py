@@ -250,14 +250,33 @@ def extracted(d):
     return d.select("doc_id", answers.extract_answer(t).alias("boxed"), answers.extract_answer(t, fallback=True).alias("with_fallback"))
 
 
-@query("t22_t23_w13_clean_prefix", "documents", sql=None)
+#: Distinct n-word windows to all of a list of words l, 1 below 4n words.
+_SHARE = lambda l, n: f"CASE WHEN len({l}) < {4 * n} THEN 1.0 ELSE len(list_distinct(list_transform(range(len({l}) - {n - 1}), lambda i: array_to_string({l}[i + 1:i + {n}], ' ')))) / (len({l}) - {n - 1}) END"
+
+
+@query("t22_t23_w13_clean_prefix", "documents", sql=f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x != '') AS w FROM documents),
+  l AS (SELECT doc_id, w || flatten(list_transform(range(30), lambda k: w[greatest(len(w) - 19, 1):])) AS l FROM d WHERE len(w) > 0),
+  g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id, x ORDER BY i) AS before FROM (SELECT doc_id, i, array_to_string(l[i + 1:i + 8], ' ') AS x FROM (SELECT doc_id, l, unnest(range(len(l) - 7)) AS i FROM l WHERE len(l) >= 400))),
+  s AS (SELECT doc_id, unnest(range(0, len(l) - 400, 100)) AS s FROM l WHERE len(l) > 400),
+  b AS (SELECT doc_id, min(s) AS cut FROM (SELECT s.doc_id, s FROM s JOIN g ON g.doc_id = s.doc_id AND g.i >= s AND g.i < s + 393 GROUP BY s.doc_id, s HAVING count(*) FILTER (before IS NULL OR before < s) < 0.6 * 393) GROUP BY doc_id),
+  c AS (SELECT doc_id, l, CASE WHEN len(l) >= 400 AND coalesce(cut, len(l)) >= 400 THEN array_to_string(l[:coalesce(cut, len(l))], ' ') END AS t FROM l LEFT JOIN b USING (doc_id)),
+  e AS (SELECT doc_id, l, t, length(t) - length(string_split(t, '. ')[-1]) - 1 AS ended FROM c),
+  f AS (SELECT doc_id, l, CASE WHEN contains(t, '. ') AND ended - 1 > length(t) * 0.5 THEN left(t, ended) ELSE t END AS t FROM e),
+  o AS (SELECT doc_id, l, CASE WHEN {_SHARE('l', 12)} >= 0.6 THEN array_to_string(l, ' ') WHEN {_SHARE("string_split(t, ' ')", 12)} >= 0.6 THEN t END AS out FROM f)
+  SELECT doc_id, len(l) AS words, len(string_split(out, ' ')) AS kept, md5(out) AS digest FROM o""")
 def prefixes(d):
     """Each text, then thirty copies of its last words: the loop is cut off, or the text refused."""
     w = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")
-    loop = F.repeat(F.concat(F.lit(" "), F.array_join(F.slice(w, F.greatest(F.size(w) - 19, F.lit(1)), F.lit(20)), " ")), F.lit(30))
-    looped = F.concat(F.array_join(w, " "), loop)
-    out = text.build_output(F.lit("search"), looped, F.lit(""))
-    return d.filter(F.size(w) > 0).select("doc_id", F.size(text.words(looped)).alias("words"), F.size(text.words(out)).alias("kept"), F.md5(out.cast("binary")).alias("digest"))
+
+    def made(x):
+        loop = F.repeat(F.concat(F.lit(" "), F.array_join(F.slice(x, F.greatest(F.size(x) - 19, F.lit(1)), F.lit(20)), " ")), F.lit(30))
+        looped = F.concat(F.array_join(x, " "), loop)
+        facts = lambda o: F.struct(F.size(text.words(o)).alias("kept"), F.md5(o.cast("binary")).alias("digest"))
+        return text.let(looped, lambda t: F.struct(F.size(text.words(t)).alias("words"), text.let(text.build_output(F.lit("search"), t, F.lit("")), facts).alias("o")))
+
+    some = spread(d).filter(F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]"))
+    out = some.select("doc_id", text.let(w, made).alias("x"))
+    return out.select("doc_id", "x.words", "x.o.kept", "x.o.digest")
 
 
 _MARK = "(?i)" + markers.MARKER.replace("(?i)", "")
