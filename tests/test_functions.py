@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, copies, markers, puzzles, stats, text
+from tracemill.functions import alignment, answers, copies, markers, puzzles, stats, strips, text
 from tracemill.operators import assembly, extend, ordered
 from tracemill.operators.common import scratch
 from tracemill.plans import catalog
@@ -123,15 +124,28 @@ def test_clean_prefix(spark):
 
 
 def test_strips(spark):
-    t = "Wait, let me see. $wait$ is fine; hmm, maybe not. So actually we go.\nPerhaps: yes"
-    a, b, c = one(spark, t, markers.strip_words(F.col("t")), markers.strip_clauses(F.col("t")), markers.strip_sentences(F.col("t")))
-    assert a == "Let me see. $wait$ is fine; not. So we go.\nYes"
-    assert b == "let me see. $wait$ is fine. \nPerhaps: yes".replace("\nPerhaps: yes", "") + b[len("let me see. $wait$ is fine. ") :]
-    assert "$wait$" in b and "maybe" not in b and c == ""
-    kept = "No doubt here. \\( maybe \\) stays."
-    assert one(spark, kept, markers.strip_sentences(F.col("t")))[0] == "No doubt here.\n\\( maybe \\) stays."
-    for r in catalog.QUERIES["t27_t28_strips"](spark, SF).collect():
-        assert r["left"] <= 1000 / 2
+    edits = (strips.without_words, strips.without_clauses, strips.without_sentences)
+    gap = " " * 250 + "\n" * 130
+    cases = {
+        "Wait, let me see. $wait$ is fine; hmm, maybe not. So actually we go.\nPerhaps: yes": (
+            "Let me see. $wait$ is fine; not. So we go.\nYes", "let me see. $wait$ is fine. \nyes.", ""),
+        "No doubt here. \\( maybe \\) stays.": ("No doubt here. \\( maybe \\) stays.", "No doubt here. \\( maybe \\) stays.", "No doubt here.\n\\( maybe \\) stays."),
+        f"One.{gap}maybe two here": (f"One. {gap.strip(' ')}Two here", f"One. {gap.strip(' ')}", "One."),
+        f"one.{gap}two": (f"One. {gap.strip(' ')}Two", f"one. {gap.strip(' ')}two", "one.\ntwo"),
+        " \n , hmm \\boxed{wait {maybe}} x": ("\\boxed{wait {maybe}} x", "\n.", ""),
+        "so\n\n ;; b": ("So\n; b", "so\n\n ;; b", "so\n ;; b"),
+        "A waiting one, and waits. hmmm": ("A waiting one, and waits. Hmmm", "A waiting one, and waits. hmmm", "A waiting one, and waits.\nhmmm"),
+        "x, wait - y! no": ("X, y! No", "x. no", "no"),
+        "": ("", "", ""),
+    }
+    for t, want in cases.items():
+        assert "".join(x for _, x in strips.tokens(t)) == t
+        assert tuple(e(t) for e in edits) == want, t
+    got = one(spark, (None,), *[c(F.col("t")) for c in (strips.strip_words, strips.strip_clauses, strips.strip_sentences)])
+    assert tuple(got) == (None, None, None)
+    start = time.perf_counter()
+    strips.without_words(("maybe " + gap) * 2_000)
+    assert time.perf_counter() - start < 5
 
 
 def test_puzzle_labels(spark):

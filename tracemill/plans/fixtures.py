@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.common import spread
+
 DOUBT = "\n\nWait, maybe 1,"
 WORK = " is what I think, and 29.98 too. I'm unsure; let me check that $I is$ right. No, hold on. We see \\( wait \\).\n\n**Final Answer** early \\boxed{"
 MORE = "}\n\nSo we get \\boxed{"
@@ -38,7 +40,7 @@ def traces(d: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")), F.lit(DOUBT), F.lpad(text(i % 1000), 3, "0"), F.lit(WORK), text(i % 7), F.lit(MORE),
         text(i % 5), F.lit(", "), text(i % 3), F.lit(LAST), text(i % 5), F.lit("}"),
     )
-    rows = d.select(
+    rows = spread(d).select(
         i.alias("idx"), "source", "lang", F.concat(F.lit("Find item "), text(i % 400), F.lit(".")).alias("instruction"), output.alias("output")
     )
     o, k = F.col("output"), F.col("idx") % 8

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, copies, markers, puzzles, text
+from tracemill.functions import alignment, answers, copies, markers, puzzles, strips, text
 from tracemill.operators import ordered
 from tracemill.operators.common import spread
 
@@ -312,12 +312,26 @@ def token_sums(d):
     return sums.select(F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.col(t).alias("n")) for t in counts])).alias("x")).select("x.*")
 
 
-@query("t27_t28_strips", "documents", sql=None)
-def strips(d):
-    o = F.col("output")
-    t = traces(d).select("idx", markers.strip_words(o).alias("a"), markers.strip_clauses(o).alias("b"), markers.strip_sentences(o).alias("c"))
-    md5 = lambda c: F.md5(F.col(c).cast("binary"))
-    return t.select("idx", md5("a").alias("words"), md5("b").alias("clauses"), md5("c").alias("sentences"), markers.marker_density(F.col("a")).alias("left"))
+_BARE = f"regexp_replace(replace(output, '$$$', ''), {quoted(markers.MATH_OR_BOX)}, '¤', 'gs')"
+_ANY = "(?i)\\b(?:" + "|".join(markers.MARKERS) + ")\\b"
+_SPLIT = lambda t: f"string_split(regexp_replace({t}, '([.!?])(\\s+)', '\\1§\\2§', 'g'), '§')"
+_KEPT = f"trim(array_to_string(list_filter(string_split(regexp_replace(s, '([,;:])', '\\1§', 'g'), '§'), lambda c: NOT regexp_matches(c, {quoted(_ANY)})), ''), ' ,;:')"
+
+
+@query("t27_t28_strips", "documents", sql=rf"""WITH {TRACES}, b AS (SELECT idx, {_BARE} AS t FROM traces),
+  w AS (SELECT idx, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {quoted(_ANY + '[' + chr(92) + 's,:;.!?-]*')}, '', 'g'), '[ \t]{{2,}}', ' ', 'g'), '(^|\n)\s*[,;:]\s*', '\1', 'g'), '(^|[.!?]\s+)([a-z])', '\1§\2', 'g'), '§') AS p FROM b),
+  c AS (SELECT idx, list_transform({_SPLIT('t')}, lambda s: CASE WHEN NOT regexp_matches(s, {quoted(_ANY)}) THEN s WHEN {_KEPT} = '' OR regexp_matches({_KEPT}, '[.!?]\n?$') THEN {_KEPT} ELSE {_KEPT} || '.' END) AS p FROM b),
+  s AS (SELECT idx, list_filter(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1§', 'g'), '§|\n+'), lambda s: trim(s, {_WS}) != '' AND NOT regexp_matches(s, {quoted(_ANY)})) AS p FROM b)
+  SELECT idx, md5(w.p[1] || array_to_string(list_transform(w.p[2:], lambda x: upper(x[1]) || x[2:]), '')) AS words, md5(regexp_replace(array_to_string(c.p, ''), '[ \t]{{2,}}', ' ', 'g')) AS clauses, md5(array_to_string(s.p, chr(10))) AS sentences
+  FROM w JOIN c USING (idx) JOIN s USING (idx)""")
+def strips_of_traces(d):
+    """Each trace without markers, their clauses and their sentences; mathematics is blanked in what is compared, and
+    strings of three dollar signs go before, as the loss of one would pair others."""
+    o = F.replace("output", F.lit("$$$"))
+    edits = {"words": strips.strip_words(o), "clauses": strips.strip_clauses(o), "sentences": strips.strip_sentences(o)}
+    t = traces(d).select("idx", *[c.alias(n) for n, c in edits.items()])
+    bare = lambda n: F.regexp_replace(n, "(?s)" + markers.MATH_OR_BOX, "¤")
+    return t.select("idx", *[F.md5(bare(n).cast("binary")).alias(n) for n in edits])
 
 
 @query("t33_common_prefix", "documents", sql="SELECT doc_id, least(length(text), 10 + doc_id % 90) AS prefix FROM documents WHERE text IS NOT NULL")
