@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from tracemill.functions import text
 from tracemill.operators import extend
 from tracemill.operators.common import scratch
 from tracemill.sources import runs, sinks
-from tracemill.streaming import resume
+from tracemill.streaming import leases, readiness, resume
 
 from .fixtures import TRACES, traces
 from .registry import query
@@ -221,3 +222,41 @@ def generated(d):
 def union_of_files(o):
     parts = [o.filter(F.col("o_orderkey") % 3 == i).select(*(["o_orderkey", "o_orderstatus"] if i else ["o_orderstatus", "o_orderkey"])) for i in range(3)]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query("x5_pool", "orders", sql="""SELECT CAST(o_orderpriority AS VARCHAR) AS job, count(*) AS orders, round(sum(o_totalprice), 2) AS total, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 2 ELSE 1 END AS attempt
+  FROM orders WHERE o_orderpriority NOT LIKE '3%' GROUP BY o_orderpriority""")
+def pool_of_jobs(o):
+    """A job for each priority, by two streams at once: one job's first holder is dead, one fails at first, one always."""
+    spark, root = o.sparkSession, scratch(o.sparkSession)
+    o.select("o_orderpriority").distinct().write.json(f"{root}/jobs")
+    dead = leases.Pool(spark, f"{root}/pool", clock=lambda: 0.0)
+    dead.claim("1-URGENT", "dead")
+
+    def work(job):
+        if job.startswith("3") or (job.startswith("2") and pool.state(job)[1] == 1):
+            raise ValueError(f"{job} fails")
+        return o.filter(F.col("o_orderpriority") == job).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+    pool = leases.Pool(spark, f"{root}/pool")
+    jobs = spark.readStream.schema("o_orderpriority string").json(f"{root}/jobs")
+    runs_ = [leases.serve(pool, jobs, "o_orderpriority", work, f"run {i}", f"{root}/state{i}", slots=2, poll_s=0.2) for i in (1, 2)]
+    for r in runs_:
+        r.awaitTermination()
+    return pool.results("orders long, total double").select("job", "orders", "total", "attempt")
+
+
+@query("x6_readiness", "nation", sql="SELECT 'late' AS gate, 'ready' AS status, count(*) AS nations FROM nation UNION ALL SELECT 'never', 'timed_out', NULL")
+def gates(n):
+    """A count that waits for a file that comes late, and one for a file that never comes."""
+    spark, root = n.sparkSession, f"/{scratch(n.sparkSession).removeprefix('file:').lstrip('/')}"
+    n.limit(0).write.parquet(f"{root}/there")
+    late = threading.Timer(3, lambda: n.limit(0).write.json(f"{root}/late"))
+    late.start()
+    count = lambda: n.agg(F.count(F.lit(1)).alias("nations")).write.parquet(f"{root}/count")
+    found = []
+    for gate, url, action, seconds in (("late", f"file://{root}/late/_SUCCESS", count, 60), ("never", f"file://{root}/never", count, 2)):
+        found.append((gate, readiness.when_ready(spark, url, action, f"{root}/state-{gate}", seconds, 0.5)[0]))
+    counts = spark.read.parquet(f"{root}/count").withColumn("g", F.lit("late"))
+    rows = spark.createDataFrame(found, "gate string, status string")
+    return rows.join(counts, F.col("gate") == F.col("g"), "left").select("gate", "status", "nations")
