@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, copies, markers, puzzles, stats, strips, text
+from tracemill.functions import alignment, answers, copies, expressions, markers, puzzles, stats, strips, text
 from tracemill.operators import assembly, extend, ordered
 from tracemill.operators.common import scratch
 from tracemill.plans import catalog
@@ -123,6 +123,98 @@ def test_clean_prefix(spark):
     assert built("style", "thought", " c ") == "c" and built("search", "<think>r</think>", "c") == "r\n\nc" and built("solo", "r", "") == "r" and built("solo", None, None) is None
 
 
+EQUAL = [
+    ('x+1', '1+x'),
+    ('(x+1)^2', 'x^2+2x+1'),
+    ('\\frac{1}{2}', '0.5'),
+    ('\\frac12', '1/2'),
+    ('\\sqrt{8}', '2\\sqrt2'),
+    ('\\frac{x^2-1}{x-1}', 'x+1'),
+    ('\\{1,2\\}', '\\{2, 1\\}'),
+    ('1,2', '2,1'),
+    ('[0,\\infty)', '\\left[0, \\infty\\right)'),
+    ('x=5', '5'),
+    ('2x+y=3', 'y+2x-3=0'),
+    ('4x+2y=6', '2x+y=3'),
+    ('\\pm 2', '\\{-2,2\\}'),
+    ('1,000', '1000'),
+    ('5\\text{ cm}', '5'),
+    ('90^\\circ', '90'),
+    ('2\\pi r', 'r\\cdot 2\\pi'),
+    ('\\sin(2x)', '\\sin(x+x)'),
+    ('\\frac{1}{\\sqrt{2}}', '\\frac{\\sqrt{2}}{2}'),
+    ('3\\frac{1}{2}', '3.5'),
+    ('x^{-1}', '1/x'),
+    ('(-\\infty,1)\\cup(2,3]', '(2,3]\\cup(-\\infty,1)'),
+    ('-x^2', '-(x^2)'),
+    ('x^{1/2}', '\\sqrt{x}'),
+    ('\\sqrt{x^2y}', 'x\\sqrt{y}'),
+    ('a_1+b_{12}', 'b_{12}+a_1'),
+    ('2^{10}', '1024'),
+    ('5!', '120'),
+    ('x \\in [0,1]', '[0,1]'),
+    ('y = 2x+1', '2x+1'),
+    ('(\\sqrt2+\\sqrt3)^2', '5+2\\sqrt6'),
+    ('\\text{yes}', 'YES'),
+    ('50\\%', '0.5'),
+    ('50\\%', '50'),
+]
+OTHER = [
+    ('x+1', 'x+2'),
+    ('(1,2)', '(2,1)'),
+    ('[0,1]', '(0,1]'),
+    ('x', 'y'),
+    ('\\{1,2\\}', '\\{1,2,3\\}'),
+    ('x^2', '2x'),
+    ('-x^2', '(-x)^2'),
+    ('\\frac{1}{0}', '\\frac{2}{0}'),
+    ('', ''),
+    ('2x+y=3', '2x+y=4'),
+    ('\\sin x', '\\cos x'),
+    ('abc', 'abd'),
+    ('((', ')('),
+    (None, None),
+    ('1', None),
+    ('\\frac{', '1'),
+    ("{" * 3000, "}" * 3000),
+]
+
+
+def test_expressions(spark):
+    df = rows(spark, [(i, a, b) for i, (a, b) in enumerate(EQUAL + OTHER)], "i int, a string, b string")
+    got = {r["i"]: r["e"] for r in df.select("i", expressions.math_equal(F.col("a"), F.col("b")).alias("e")).collect()}
+    assert [p for i, p in enumerate(EQUAL) if not got[i]] == [] and [p for i, p in enumerate(OTHER) if got[len(EQUAL) + i]] == []
+
+
+def test_rational_expressions_against_exact_arithmetic():
+    from fractions import Fraction
+
+    rng = random.Random(4)
+
+    def made(depth):
+        """An expression and its value at x = 3/7, by fractions; written in several ways."""
+        if depth == 0:
+            n, d = rng.randrange(1, 9), rng.randrange(1, 5)
+            return rng.choice([("x", Fraction(3, 7)), (str(n), Fraction(n)), (f"\\frac{{{n}}}{{{d}}}", Fraction(n, d))])
+        (a, u), (b, v) = made(depth - 1), made(depth - 1)
+        op = rng.choice("+-*/")
+        if op == "/" and v:
+            return f"\\frac{{{a}}}{{{b}}}", u / v
+        return (f"({a})({b})", u * v) if op == "*" else (f"({a}) {op if op in '+-' else '+'} ({b})", u - v if op == "-" else u + v)
+
+    def at(text):
+        form, _, _ = expressions.expression(text.replace("x", "(3/7)"))
+        return form
+
+    for _ in range(300):
+        a, u = made(3)
+        assert at(a) == at(f"\\frac{{{u.numerator}}}{{{u.denominator}}}"), a
+        assert at(a) != at(f"\\frac{{{u.numerator + 1}}}{{{u.denominator}}}")
+        b, v = made(2)
+        same = {expressions.expression(f"({a})({b}) - {b.join('()')}")[0], expressions.expression(f"({b})({a}) - ({b})")[0], expressions.expression(f"(({a}) - 1)*({b})")[0]}
+        assert len(same) == 1
+
+
 def test_strips(spark):
     edits = (strips.without_words, strips.without_clauses, strips.without_sentences)
     gap = " " * 250 + "\n" * 130

@@ -101,21 +101,26 @@ def math_equal(a: Column, b: Column, near: float = 1e-4) -> Column:
     return F.coalesce(let(both, lambda x: F.when((x["a"] != "") & (x["b"] != ""), valued(x))), F.lit(False))
 
 
+def _parts(box: Column) -> Column:
+    own = F.filter(F.transform(F.split(box, "[,;]"), strip), lambda x: x != "")
+    return let(own, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(box)))
+
+
+def last_parts(text: Column) -> Column:
+    """The parts, split at , and ;, of the last box; null without a box."""
+    return let(boxed(text), lambda b: F.when(F.size(b) > 0, _parts(F.element_at(b, -1))))
+
+
+def offered_parts(text: Column) -> Column:
+    """The parts of all boxes and the boxes themselves, each once; null without a box."""
+    return let(boxed(text), lambda b: F.when(F.size(b) > 0, F.array_distinct(F.concat(F.flatten(F.transform(b, _parts)), b))))
+
+
 def answers_agree(source: Column, rewrite: Column, equal: Callable[[Column, Column], Column] = math_equal) -> Column:
-    """Whether each part of source's last box (split at , and ;) equals some part or whole of a box of rewrite; null if
-    either has no box."""
-    def parts(box: Column) -> Column:
-        own = F.filter(F.transform(F.split(box, "[,;]"), strip), lambda x: x != "")
-        return let(own, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(box)))
-
-    def judged(x: Column) -> Column:
-        wanted = parts(F.element_at(x["gold"], -1))
-        offered = F.concat(F.flatten(F.transform(x["pred"], parts)), x["pred"])
-        whole = F.struct(wanted.alias("g"), F.array_distinct(offered).alias("p"))
-        return let(whole, lambda y: F.forall(y["g"], lambda g: F.exists(y["p"], lambda p: equal(g, p))))
-
-    boxes = F.struct(boxed(source).alias("gold"), boxed(rewrite).alias("pred"))
-    return let(boxes, lambda x: F.when((F.size(x["gold"]) > 0) & (F.size(x["pred"]) > 0), judged(x)))
+    """Whether each part of source's last box equals some part or whole of a box of rewrite; null if either has no box."""
+    both = F.struct(last_parts(source).alias("g"), offered_parts(rewrite).alias("p"))
+    agree = lambda x: F.forall(x["g"], lambda g: F.exists(x["p"], lambda p: equal(g, p)))
+    return let(both, lambda x: F.when(x["g"].isNotNull() & x["p"].isNotNull(), agree(x)))
 
 
 def extract_answer(text: Column, fallback: bool = False) -> Column:

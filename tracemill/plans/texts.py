@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, copies, markers, puzzles, strips, text
+from tracemill.functions import alignment, answers, copies, expressions, markers, puzzles, strips, text
 from tracemill.operators import ordered
 from tracemill.operators.common import spread
 
@@ -243,6 +243,33 @@ def equalities(d):
     return d.select("doc_id", answers.math_equal(a, b).alias("equal"))
 
 
+_I, _N = "coalesce(doc_id, 0)", "coalesce(n_chars, 0)"
+
+
+@query("e1_expressions", "documents", sql=f"""WITH v AS (SELECT doc_id, {_I} % 6 AS k, {_I} // 6 AS i, {_N} AS n FROM documents)
+  SELECT doc_id, CASE k WHEN 0 THEN (i % 5) + (n % 7) = (i % 5) + (n % 7) + n // 7 % 2 AND (i % 5) * (n % 7) = (i % 5) * (n % 7) + i // 5 % 2
+    WHEN 1 THEN (i % 12) * (n % 5 + 1) = (n % 12) * (i % 5 + 1) WHEN 2 THEN list_sort(list_distinct([i % 3, n % 3, 2])) = list_sort(list_distinct([n % 2, i % 2, 2]))
+    WHEN 3 THEN i % 60 + 1 = (n % 3 + 1) * (n % 3 + 1) * (n % 9 + 1) WHEN 4 THEN (i % 4) * 2 = n % 8 AND i % 2 = n // 8 % 2 ELSE i % 6 = n % 6 END AS equal FROM v""")
+def equal_expressions(d):
+    """Products and sums, fractions in another order, sets, roots, intervals and quotients of numbers that differ by row;
+    the SQL compares their coefficients."""
+    k, i, n = F.coalesce("doc_id", F.lit(0)) % 6, F.expr("coalesce(doc_id, 0) div 6"), F.coalesce("n_chars", F.lit(0))
+    div = lambda c, by: F.floor(c / by)
+    put = lambda form, *cs: F.format_string(form, *[c.cast("long") for c in cs])
+    a, b = i % 5, n % 7
+    pairs = [
+        (put("(x+%d)(x+%d)", a, b), put("%d + x^2 + %d\\cdot x", a * b + div(i, 5) % 2, a + b + div(n, 7) % 2)),
+        (put("\\frac{%d}{%d}y + \\sqrt{z}", i % 12, i % 5 + 1), put("\\sqrt{z}+y\\left(%d/%d\\right)", n % 12, n % 5 + 1)),
+        (put("\\{%d, %d, 2\\}", i % 3, n % 3), put("2,%d,\\frac{%d}{2}", n % 2, i % 2 * 2)),
+        (put("\\sqrt{%d}", i % 60 + 1), put("%d\\sqrt{%d}", n % 3 + 1, n % 9 + 1)),
+        (put("\\left[%d, t+%d\\right)", i % 4, i % 2), put("[\\frac{%d}{2}, %d + t)", n % 8, div(n, 8) % 2)),
+        (put("\\frac{x^2 - %d}{x - %d}", (i % 6) * (i % 6), i % 6), put("%d+x", n % 6)),
+    ]
+    pick = lambda side: F.element_at(F.array(*[p[side] for p in pairs]), (k + 1).cast("int"))
+    rows = spread(d).select("doc_id", pick(0).alias("a"), pick(1).alias("b"))
+    return rows.select("doc_id", expressions.math_equal(F.col("a"), F.col("b")).alias("equal"))
+
+
 @query("e2_extract_answer", "documents", sql=f"""SELECT doc_id, regexp_extract_all(coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' \\boxed{{a{{b}}c}}' ELSE '' END, {quoted(_BOX)}, 1)[-1] AS boxed,
   CASE WHEN doc_id % 2 = 0 THEN 'a{{b}}c' ELSE regexp_extract_all(replace(coalesce(text, ''), ',', ''), '-?[0-9]+(?:\\.[0-9]+)?')[-1] END AS with_fallback FROM documents""".replace("{{", "{").replace("}}", "}"))
 def extracted(d):
