@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, copies, expressions, markers, puzzles, stats, strips, text
-from tracemill.operators import assembly, extend, ordered
+from tracemill.functions import alignment, answers, copies, expressions, lexicon, markers, puzzles, stats, strips, text
+from tracemill.operators import assembly, extend, ordered, packing, rises
 from tracemill.operators.common import scratch
 from tracemill.plans import catalog
 from tracemill.plans.fixtures import traces
@@ -49,18 +49,15 @@ def test_segments(spark):
     cases = ["a b\n\nc d e\n\n\nf", "", "x", "\n\n", "a\n\n\n\nb"]
     for _ in range(60):
         cases.append("".join(rng.choice(["a", " ", "bb ", "\n\n", "\n \n\n", "word ", "\n"]) for _ in range(rng.randint(0, 80))))
-    df = rows(spark, [(c,) for c in cases], "t string")
+    cases += ["a\n\n" * 3000, *["a b\n\nc"] * 2]
+    df = rows(spark, list(enumerate([*cases, None])), "k int, t string").repartition(3)
     for most, tail in ((3, 0), (3, 2), (8, None)):
-        got = df.select("t", text.segments(F.col("t"), most, least_tail=tail).alias("s")).collect()
-        for r in got:
-            assert [tuple(s) for s in r["s"]] == packed(r["t"], most, most // 4 if tail is None else tail), r["t"]
-            assert "".join(s["text"] + s["gap"] for s in r["s"]) == r["t"]
-    for r in catalog.QUERIES["w11_t52_d1_segments"](spark, SF).join(traces(spark.read.parquet(f"{SF}/documents.parquet")), "idx").collect():
-        import hashlib
-
-        want = packed(r["output"], 60, 15)
-        assert r["segments"] == len(want) and r["longest"] == max(w[2] for w in want)
-        assert r["digest"] == hashlib.md5(r["output"].encode()).hexdigest()
+        got = {}
+        for r in packing.packed(df, "t", most, least_tail=tail).collect():
+            got.setdefault(r["k"], []).append((r["position"], r["text"], r["gap"], r["tokens"]))
+        assert len(got) == len(cases)
+        for k, t in enumerate(cases):
+            assert [x[1:] for x in sorted(got[k])] == packed(t, most, most // 4 if tail is None else tail), t
 
 
 def test_known_numbers_and_guards(spark):
@@ -123,6 +120,19 @@ def test_clean_prefix(spark):
     assert built("style", "thought", " c ") == "c" and built("search", "<think>r</think>", "c") == "r\n\nc" and built("solo", "r", "") == "r" and built("solo", None, None) is None
 
 
+def test_one_pass_counts_what_each_pattern_counts(spark):
+    rng = random.Random(8)
+    pieces = [x for lists in markers.LISTS.values() for p in lists for x in lexicon.phrases(p)]
+    pieces = [x.strip("\x01\x02") for x in pieces] + [" ", " ", ", ", "\n", "a", "é", "_", ".", "hm", "no,\t", "wait", "-", "İ"]
+    texts = ["".join(rng.choice((str.upper, str.lower, str))(rng.choice(pieces)) for _ in range(rng.randrange(30))) for _ in range(600)]
+    book = lexicon.Lexicon(markers.LISTS)
+    for t in texts:
+        want = [sum(1 for _ in re.finditer("|".join(f"(?:{p})" for p in own), t, re.I | re.A)) for own in markers.LISTS.values()]
+        assert book.counts(t) == want, t
+    assert lexicon.phrases(r"\ba(b|cd?)[ -]e?\s") == ["\x01ab e\x02", "\x01ab \x02", "\x01ab-e\x02", "\x01ab-\x02", "\x01acd e\x02", "\x01acd \x02", "\x01acd-e\x02", "\x01acd-\x02", "\x01ac e\x02", "\x01ac \x02", "\x01ac-e\x02", "\x01ac-\x02"]
+    assert one(spark, (None,), markers.lexicon_counts(F.col("t"))["nine"].alias("n"))[0] == 0
+
+
 EQUAL = [
     ('x+1', '1+x'),
     ('(x+1)^2', 'x^2+2x+1'),
@@ -329,6 +339,21 @@ def test_rises(spark):
     assert [r["n"] for r in sorted(got)] == [longest_rise(v) for v in lists]
 
 
+def test_rises_of_a_hot_key(spark):
+    rng = random.Random(9)
+    data = [("hot", i, float(v)) for i, v in enumerate(rng.choice([rng.randrange(2000), i // 2, 7, -i]) for i in range(2700))]
+    data += [("small", i, float(i % 5)) for i in range(40)] + [(None, 1, 3.0), (None, 2, 4.0), ("hot", 9999, None), ("one", 5, float("nan")), ("equal", 1, 2.0), ("equal", 2, 2.0)]
+    df = rows(spark, data, "k string, i long, v double").repartition(5)
+    want = {}
+    for k in ("hot", "small", None, "equal"):
+        values = [v for kk, _, v in sorted(data, key=lambda x: x[1]) if kk == k and v is not None]
+        want[k] = (len(values), longest_rise(values))
+    for block in (100_000, 700):
+        got = {r["k"]: (r["n"], r["longest"]) for r in rises.longest_rises(df, "k", ["i"], "v", block).collect()}
+        assert got == want, block
+    assert rises.longest_rises(df.limit(0), "k", ["i"], "v").count() == 0
+
+
 def test_later_copies_go_where_they_are_sentences(spark):
     s = "The answer has to be even."
     cases = [
@@ -362,6 +387,26 @@ def test_statistics(spark):
     assert all(r["t"] == pytest.approx(known[r["d"]], abs=6e-4) for r in t)
 
 
+def test_bootstrap_against_plain_loops(spark):
+    rng = random.Random(5)
+    data = [(f"s{rng.randrange(9)}", i, rng.uniform(-3, 9) if i % 10 else None) for i in range(240)]
+    df = rows(spark, data, "s string, k long, v double").repartition(4)
+    hashes = {r["k"]: (r["hs"], r["hk"]) for r in df.select("k", F.xxhash64("s").alias("hs"), F.xxhash64("k").alias("hk")).collect()}
+    draws, seed = 37, 11
+    top, below = {}, {}
+    for s, k, v in data:
+        if v is not None:
+            w = assembly.poisson_weights(draws, seed, *hashes[k])
+            a, b = top.get(hashes[k][0], (0, 0))
+            top[hashes[k][0]] = (a + w, b + w * v)
+    for d in range(draws):
+        parts = [(assembly.poisson_weights(draws, seed, s)[d], b[d] / a[d]) for s, (a, b) in top.items() if a[d]]
+        below[d] = sum(w * m for w, m in parts) / sum(w for w, _ in parts) if sum(w for w, _ in parts) else None
+    for held in (2, 64):
+        got = {r["draw"]: r["mean"] for r in assembly.bootstrap(df, "s", "k", "v", draws, seed, held).collect()}
+        assert got == {d: None if m is None else pytest.approx(m) for d, m in below.items()}
+
+
 def test_bootstrap_means_spread_about_the_mean(spark):
     got = [r["mean"] for r in catalog.QUERIES["st13_bootstrap"](spark, "/root/testdata/sf0.01").collect()]
     draws = [m for m in got if m is not None]  # five strata all have weight 0 in one draw of 150
@@ -369,6 +414,8 @@ def test_bootstrap_means_spread_about_the_mean(spark):
     means = np.array([r["m"] for r in per.groupBy("s").agg(F.avg("v").alias("m")).collect()])
     assert len(got) == 200 and len(draws) >= 190 and abs(np.mean(draws) - means.mean()) < 3 * np.std(draws) / 190**0.5 + 0.2
     assert 0.3 * means.std() / 5**0.5 < np.std(draws) < 4 * means.std() / 5**0.5 + 2
+    weights = assembly.poisson_weights(200_000, 1, 2)
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.03 and weights.max() >= 7
 
 
 def test_corrupted_vectors_are_never_the_truth(spark):

@@ -140,49 +140,6 @@ def paragraphs(text: Column) -> Column:
     return F.struct(F.split(text, PARAGRAPH_GAP, -1).alias("parts"), F.concat(gaps, F.array(F.lit(""))).alias("gaps"))
 
 
-def segments(text: Column, most: int, count: Callable[[Column], Column] = word_count, least_tail: int | None = None) -> Column:
-    """Paragraphs packed greedily into segments {text, gap, tokens} of at most `most` tokens, as array.
-
-    A paragraph counts with the gap behind it and is never cut. A last segment of under least_tail tokens (most // 4)
-    joins the one before it. Texts and gaps put together are the text.
-    """
-    tail = most // 4 if least_tail is None else least_tail
-    kind = "struct<done:array<struct<text:string,gap:string,tokens:int>>,text:string,gap:string,tokens:int>"
-
-    def packed(p: Column) -> Column:
-        items = F.zip_with(
-            p["parts"], p["gaps"], lambda a, g: F.struct(a.alias("a"), g.alias("g"), count(F.concat(a, g)).cast("int").alias("n"))
-        )
-        begin = F.struct(
-            F.array().cast("array<struct<text:string,gap:string,tokens:int>>").alias("done"), F.lit(None).cast("string").alias("text"),
-            F.lit("").alias("gap"), F.lit(0).alias("tokens"),
-        ).cast(kind)
-        own = lambda x: F.struct(x["text"].alias("text"), x["gap"].alias("gap"), x["tokens"].alias("tokens"))
-
-        def step(acc: Column, x: Column) -> Column:
-            full = acc["text"].isNotNull() & (acc["tokens"] + x["n"] > most)
-            fresh = full | acc["text"].isNull()
-            return F.struct(
-                F.when(full, F.concat(acc["done"], F.array(own(acc)))).otherwise(acc["done"]).alias("done"),
-                F.when(fresh, x["a"]).otherwise(F.concat(acc["text"], acc["gap"], x["a"])).alias("text"),
-                x["g"].alias("gap"),
-                (F.when(fresh, F.lit(0)).otherwise(acc["tokens"]) + x["n"]).alias("tokens"),
-            ).cast(kind)
-
-        return F.aggregate(items, begin, step, lambda acc: F.concat(acc["done"], F.array(own(acc))))
-
-    def merged(s: Column) -> Column:
-        last, before = F.element_at(s, -1), F.element_at(s, F.greatest(F.size(s) - 1, F.lit(1)))
-        both = F.struct(
-            F.concat(before["text"], before["gap"], last["text"]).alias("text"), last["gap"].alias("gap"),
-            (before["tokens"] + last["tokens"]).alias("tokens"),
-        )
-        short = (F.size(s) > 1) & (last["tokens"] < tail)
-        return F.when(short, F.concat(F.slice(s, F.lit(1), F.size(s) - 2), F.array(both))).otherwise(s)
-
-    return let(let(paragraphs(text), packed), merged)
-
-
 def reassembled(rows: Column) -> Column:
     """The text of segments {position, text, gap}, in any order: each stripped and followed by its gap."""
     return F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(strip(r["text"]), r["gap"])), "")

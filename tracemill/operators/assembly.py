@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.functions import stats
 
@@ -138,23 +145,51 @@ def agrees_with_record(values: DataFrame, recorded: DataFrame, key: str, value:
     return both.withColumn("warn", F.coalesce(F.abs(F.col(value) - F.col("recorded")) > off, F.lit(True)))
 
 
-def bootstrap(rows: DataFrame, strata: str, key: str, value: str, draws: int, seed: int) -> DataFrame:
-    """(draw, mean): means over resampled strata of resampled rows, by Poisson weights from seeded hashes: each row and
-    each stratum has its weight in every draw without any row being copied to another task. Null if a draw has no stratum."""
-    every = rows.select(strata, key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    cut, p, total = [], 0.36787944117144233, 0.0
-    for k in range(7):
-        total += p
-        cut.append(total)
-        p /= k + 1
+def poisson_weights(draws: int, *of: int) -> np.ndarray:
+    """A Poisson weight of mean 1 for each draw, from a counter-based generator of these numbers alone."""
+    h = hashlib.blake2b(repr(of).encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=np.frombuffer(h, np.uint64))).poisson(1.0, draws)
+
 
-    def weight(*of) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(2**53)) / float(2**53)
-        return sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0))
+def bootstrap(rows: DataFrame, strata: str, key: str, value: str, draws: int, seed: int, held: int = 64) -> DataFrame:
+    """(draw, mean): means over resampled strata of resampled rows, by Poisson weights from seeded hashes.
 
-    inner = every.groupBy("draw", strata).agg(F.try_divide(F.sum(weight("draw", strata, key) * F.col(value)), F.sum(weight("draw", strata, key))).alias("__m"))
-    outer = weight("draw", strata) * F.when(F.col("__m").isNotNull(), 1).otherwise(0)
-    return inner.groupBy("draw").agg(F.try_divide(F.sum(outer * F.coalesce("__m", F.lit(0.0))), F.sum(outer)).alias("mean"))
+    Each row and each stratum has its weight in every draw, whatever task reads it. A task keeps two vectors of draws for
+    each stratum it meets, the weights' sum and that of weighted values, and hands on what it has whenever there are over
+    `held` strata; so memory is held * draws numbers, and no row is copied. strata and key are hashed (xxhash64). Rows
+    with null values are left out. A draw in which no stratum has weight has a null mean.
+    """
+    kind = "stratum long, draw int, w double, wv double"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def shown() -> Iterator[pa.RecordBatch]:
+            for s, (w, wv) in kept.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(draws, s, np.int64)), pa.array(np.arange(draws, dtype=np.int32)), pa.array(w), pa.array(wv)], ["stratum", "draw", "w", "wv"])
+            kept.clear()
+
+        for batch in batches:
+            for s, k, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if s not in kept and len(kept) >= held:
+                    yield from shown()
+                both = kept.setdefault(s, np.zeros((2, draws)))
+                w = poisson_weights(draws, seed, s, k)
+                both[0] += w
+                both[1] += w * v
+        yield from shown()
+
+    hashed = rows.filter(F.col(value).isNotNull()).select(F.xxhash64(strata).alias("s"), F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("v"))
+    inner = hashed.mapInArrow(sums, kind).groupBy("stratum", "draw").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
+    means = inner.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("draw", F.try_divide("wv", "w").alias("m")))).alias("m"))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def outer(strata_: pd.Series) -> pd.Series:
+        return strata_.map(lambda s: poisson_weights(draws, seed, s))
+
+    weighted = means.select(F.explode(F.arrays_zip("m", outer("stratum").alias("w"))).alias("x")).select("x.m.draw", "x.m.m", "x.w")
+    some = F.when(F.col("m").isNotNull(), F.col("w")).otherwise(0)
+    return weighted.groupBy("draw").agg(F.try_divide(F.sum(some * F.coalesce("m", F.lit(0.0))), F.sum(some)).alias("mean"))
 
 
 def top_by_product(rows: DataFrame, factors: list[str], n: int, key: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import ordered
+from tracemill.operators import ordered, packing, rises
 from tracemill.operators.common import ranked
 
 from .fixtures import PUZZLES, TRACES, puzzles, quoted, traces
@@ -214,12 +213,19 @@ def cdf(line):
     return ordered.distribution(line, "l_quantity").select("l_quantity", F.round("share", 9).alias("share"))
 
 
-@query("w11_t52_d1_segments", "documents", sql=None)
+@query("w11_t52_d1_segments", "documents", sql=rf"""WITH RECURSIVE {TRACES}, g AS (SELECT idx, regexp_split_to_array(regexp_replace(output, '(\n[ \t]*\n\s*)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM traces),
+  t AS (SELECT idx, list_transform(range(len(p) // 2 + 1), lambda k: p[2 * k + 1] || coalesce(p[2 * k + 2], '')) AS pg, list_transform(range(len(p) // 2 + 1), lambda k: coalesce(p[2 * k + 2], '')) AS gaps FROM g),
+  n AS (SELECT idx, pg, gaps, list_transform(pg, lambda b: len(regexp_extract_all(b, '[^ \t-\r]+'))) AS n FROM t),
+  r AS (SELECT idx, 1 AS i, 1 AS seg, n[1] AS used FROM n UNION ALL SELECT r.idx, i + 1, CASE WHEN used + n[i + 1] > 60 THEN seg + 1 ELSE seg END, CASE WHEN used + n[i + 1] > 60 THEN n[i + 1] ELSE used + n[i + 1] END FROM r JOIN n ON n.idx = r.idx WHERE i < len(n)),
+  e AS (SELECT idx, max(seg) AS last, max_by(used, i) AS used FROM r GROUP BY idx),
+  s AS (SELECT r.idx, CASE WHEN seg = last AND last > 1 AND e.used < 15 THEN seg - 1 ELSE seg END AS seg, string_agg(pg[i], '' ORDER BY i) AS pg, max_by(gaps[i], i) AS gap, sum(n[i]) AS n FROM r JOIN n ON n.idx = r.idx JOIN e ON e.idx = r.idx GROUP BY 1, 2),
+  k AS (SELECT *, left(pg, length(pg) - length(gap)) AS text FROM s)
+  SELECT idx, count(*) AS segments, max(n) AS longest, count(DISTINCT idx || ':' || (seg - 1) || ':' || left(sha1(text), 12)) AS keys, md5(string_agg(text || gap, '' ORDER BY seg)) AS digest,
+  md5(string_agg(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || gap, '' ORDER BY seg)) AS stripped FROM k GROUP BY idx""")
 def segmented(d):
     """Segments of at most 60 words of each output, with their keys; put together again they are the text."""
-    s = traces(d).select("idx", "output", text.segments(F.col("output"), 60).alias("s"))
-    rows = s.select("idx", F.posexplode("s").alias("j", "x"))
-    keyed = rows.select("idx", "j", text.segment_key(F.col("idx"), F.col("j"), F.col("x.text")).alias("key"), "x.text", "x.gap", "x.tokens")
+    rows = packing.packed(traces(d).select("idx", "output"), "output", 60).withColumnRenamed("position", "j")
+    keyed = rows.withColumn("key", text.segment_key(F.col("idx"), F.col("j"), F.col("text")))
     whole = keyed.groupBy("idx").agg(
         F.count(F.lit(1)).alias("segments"), F.max("tokens").alias("longest"), F.count_distinct("key").alias("keys"),
         F.array_sort(F.collect_list(F.struct(F.col("j").alias("position"), "text", "gap"))).alias("parts"),
@@ -229,11 +235,13 @@ def segmented(d):
     return whole.select("idx", "segments", "longest", "keys", md5(joined).alias("digest"), md5(text.reassembled(F.col("parts"))).alias("stripped"))
 
 
-@query("w12_lis", "events", sql=None)
+@query("w12_lis", "events", sql="""WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id),
+  d AS (SELECT user_id, v, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(1, len(v) + 1), lambda k: [k])), lambda d, k: list_append(d, 1 + coalesce(list_max(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN v[i] < v[k[1]] THEN d[i] END)), 0))) AS d FROM l)
+  SELECT user_id, len(v) - list_max(d) AS moved FROM d""")
 def rise(e):
     """For each user how many events are out of order by value, in order of id: all less the longest rise."""
-    lists = e.filter("value IS NOT NULL").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("l"))
-    return lists.select("user_id", (F.size("l") - ordered.rise(F.transform("l", lambda x: x["value"]))).alias("moved"))
+    out = rises.longest_rises(e, "user_id", ["event_id"], "value")
+    return out.select("user_id", (F.col("n") - F.col("longest")).alias("moved"))
 
 
 @query("w15_w16_s2_s4_orders", "part", sql="""WITH p AS (SELECT p_partkey, 'p_' || (p_partkey % 50) AS id, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS len FROM part)

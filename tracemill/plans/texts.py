@@ -320,12 +320,11 @@ _FIRST = "{} - {} + {}".format(_COUNT("b", r"\bI\s+[a-z]"), _COUNT("b", r"\b[lL]
   SELECT idx, {_PER(_COUNT('output', _MARK), 'output')} AS markers, {_PER(_COUNT('output', _HELD), 'output')} AS held_out, {_PER(_COUNT('output', '(?i)\\b(?:' + '|'.join(markers.NINE) + ')\\b'), 'output')} AS nine,
   {_PER(_FIRST + ' + ' + _COUNT('b', markers.INTERJECTION), 'b')} AS self_talk, {_PER(_COUNT(_APART, _PLURAL), 'b')} AS plural FROM b""")
 def all_densities(d):
-    o = F.col("output")
-    six = lambda c: F.round(c, 6)
-    return traces(d).select(
-        "idx", six(markers.marker_density(o)).alias("markers"), six(markers.held_out_density(o)).alias("held_out"), six(markers.nine_density(o)).alias("nine"),
-        six(markers.self_talk_density(o)).alias("self_talk"), six(markers.plural_density(o)).alias("plural"),
-    )
+    o, c = F.col("output"), F.col("c")
+    six = lambda x: F.round(x, 6)
+    per = lambda n: six(markers.per_thousand(c[n], o)).alias(n)
+    rows = traces(d).select("idx", "output", markers.lexicon_counts(o).alias("c"))
+    return rows.select("idx", per("markers"), per("held_out"), per("nine"), six(markers.self_talk_density(o)).alias("self_talk"), six(markers.plural_density(o)).alias("plural"))
 
 
 _TOKEN_SUMS = " UNION ALL ".join(f"SELECT {quoted(t)} AS token, sum({_COUNT('output', '(?i)' + chr(92) + 'b' + t + chr(92) + 'b')}) AS n FROM traces" for t in markers.NINE)
@@ -334,8 +333,9 @@ _BYPASS_SUM = " + ".join(_COUNT("output", f"(?i){p}") for p in markers.BYPASS)
 
 @query("t31_t32_token_counts", "documents", sql=f"WITH {TRACES} {_TOKEN_SUMS} UNION ALL SELECT 'bypass', sum({_BYPASS_SUM}) FROM traces")
 def token_sums(d):
-    counts = markers.token_counts(F.col("output"))
-    sums = traces(d).agg(*[F.sum(c).cast("long").alias(t) for t, c in counts.items()])
+    rows = traces(d).select(markers.lexicon_counts(F.col("output")).alias("c"))
+    counts = markers.counts_by_token(F.col("c"))
+    sums = rows.agg(*[F.sum(c).cast("long").alias(t) for t, c in counts.items()])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.col(t).alias("n")) for t in counts])).alias("x")).select("x.*")
 
 
