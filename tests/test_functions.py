@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions import alignment, answers, copies, expressions, lexicon, markers, puzzles, stats, strips, text
+from tracemill.functions import alignment, answers, copies, expressions, lexicon, markers, puzzles, stats, strips, text, tokens
 from tracemill.operators import assembly, extend, ordered, packing, rises
 from tracemill.operators.common import scratch
 from tracemill.plans import catalog
@@ -454,6 +454,54 @@ def test_torn_files_and_settings(spark, tmp_path):
     assert one(spark, "t0.7_k4_s0_e100.jsonl", *runs.name_parameters(F.col("t")).values()) == (0.7, 4, 0, 100)
 
 
+def test_settings_of_lists_and_maps():
+    text_ = "runs:\n  - name: a\n    size: [1, 9]\n    at:\n      - x\n      - 'y: z'\n  -\n    name: b\n  - - 1\n    - 2\nlast:\n- 1\n- deep:\n    k: v\nnone:\nurl: http://x:1/y # why\n"
+    want = {"runs": [{"name": "a", "size": [1, 9], "at": ["x", "y: z"]}, {"name": "b"}, [1, 2]], "last": [1, {"deep": {"k": "v"}}], "none": None, "url": "http://x:1/y"}
+    assert runs.read_settings(text_) == want and runs.read_settings("# nothing\n") == {}
+
+
+def test_arrays_of_any_layout(spark, tmp_path):
+    for name, body in (("a", '[{"v": [1, 2]},\n {"v": []}]'), ("b", '[\n{"v": [3]}\n]\n'), ("c", "[]")):
+        (tmp_path / name).write_text(body)
+    path = str(tmp_path)
+    for by_line in (True, False):
+        got = runs.read_json_array(spark, path, "v array<int>", by_line).collect()
+        assert sorted((r["idx"], r["v"]) for r in got) == [(0, [1, 2]), (1, []), (2, [3])]
+    df = rows(spark, [(i, f"x]{i}") for i in range(500)], "k int, t string").repartition(7)
+    sinks.write_json_array(df, f"{path}/out", "k")
+    back = runs.read_json_array(spark, f"{path}/out", "k int, t string").collect()
+    assert sorted(map(tuple, back)) == [(i, i, f"x]{i}") for i in range(500)]
+    sinks.write_json_array(df.limit(0), f"{path}/none", "k")
+    assert runs.read_json_array(spark, f"{path}/none", "k int, t string").count() == 0
+
+
+def test_last_line_wins(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(f'{{"k": {i % 3}, "v": {i}}}\n' for i in range(3000)))
+    (tmp_path / "b.json").write_text('{"k": 0, "v": -1}\n')
+    found = runs.last_per_key(runs.with_place(spark.read.schema("k int, v int").json(str(tmp_path))), "k", "place")
+    assert sorted((r["k"], r["v"]) for r in found.collect()) == [(0, -1), (1, 2998), (2, 2999)]
+
+
+def test_tokens_of_pieces_are_those_of_texts(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    own = tokens.encoder(path, pattern)
+    c = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "text")
+    c = c.union(rows(spark, [(-1, None), (-2, ""), (None, "it's  1 to 3\n\n "), (-3, "same word " * 900), (-3, "é" * 99)], "conv_id long, text string"))
+    want = {}
+    for r in c.collect():
+        want[r["conv_id"]] = want.get(r["conv_id"], 0) + len(own.encode_ordinary(r["text"] or ""))
+    got = {r["conv_id"]: r["tokens"] for r in tokens.token_counts(c, ["conv_id"], "text", path, pattern).collect()}
+    assert got == want
+    again = {r["conv_id"]: r["tokens"] for r in tokens.token_counts(c, ["conv_id"], "text", path, pattern, most=10**6).collect()}
+    assert again == want
+    words = rows(spark, [("the",), ("waiting",), ("zzqqjx",), (None,), ("",)], "w string")
+    for r in tokens.resolved(words, "w", path, pattern).collect():
+        ids = own.encode_ordinary(r["w"] or "")
+        assert r["token_id"] == (ids[0] if len(ids) == 1 else None)
+
+
 def test_sidecar_of_another_length_fails(spark):
     root = scratch(spark)
     sinks.write_json_array(rows(spark, [(i,) for i in range(3)], "a long"), f"{root}/a", "a")

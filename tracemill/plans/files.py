@@ -39,7 +39,31 @@ def json_lines(c):
 
 @query("sc3_last_wins", "events", sql="SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def last_wins(e):
-    return runs.last_per_key(e.select("user_id", "event_id"), "user_id", "event_id")
+    """Of each user's lines the last in the file."""
+    path = scratch(e.sparkSession)
+    sinks.write_json_lines(e.select("user_id", "event_id").repartitionByRange("user_id").sortWithinPartitions("user_id", "event_id"), path)
+    rows = runs.with_place(e.sparkSession.read.schema("user_id long, event_id long").json(path))
+    return runs.last_per_key(rows, "user_id", "place").select("user_id", "event_id")
+
+
+@query("ag30_shard_ranges", "orders", sql="SELECT 'shard=' || (o_orderkey % 4) AS file, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def ranges(o):
+    """Rows, least and greatest key of each of four shards."""
+    path = scratch(o.sparkSession)
+    o.select("o_orderkey", (F.col("o_orderkey") % 4).alias("shard")).write.partitionBy("shard").parquet(path)
+    return runs.shard_ranges(o.sparkSession.read.parquet(path), "o_orderkey")
+
+
+@query("sc12_settings", "part", sql="SELECT 'small' AS name, count(*) AS n FROM part WHERE p_size BETWEEN 1 AND 9 AND p_brand IN ('Brand#1', 'Brand#12') UNION ALL SELECT 'large', count(*) FROM part WHERE p_size BETWEEN 10 AND 50 AND p_brand IN ('Brand#2', 'Brand#23', 'Brand#3')")
+def settings(p):
+    """Counts that a settings file asks for: a list of maps with lists in them."""
+    spark, path = p.sparkSession, scratch(p.sparkSession)
+    text_ = "# what to count\ncounts:\n  - name: small\n    size: [1, 9]\n    brands:\n      - 'Brand#1'\n      - \"Brand#12\"\n  - name: large\n    size: [10, 50]\n    brands: ['Brand#2', 'Brand#23', 'Brand#3']\n"
+    spark.createDataFrame([(text_,)], "value string").coalesce(1).write.text(path)
+    wanted = runs.read_settings(spark.read.text(path, wholetext=True).first()["value"])["counts"]
+    inside = lambda c: F.col("p_size").between(*c["size"]) & F.col("p_brand").isin(c["brands"])
+    sums = p.agg(*[F.count_if(inside(c)).alias(c["name"]) for c in wanted])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c["name"]).alias("name"), F.col(c["name"]).alias("n")) for c in wanted])).alias("x")).select("x.*")
 
 
 @query("sc4_resume", "customer", sql="SELECT c_custkey, c_custkey % 3 <> 1 AS done FROM customer")
@@ -102,8 +126,7 @@ def sidecar(p):
 @query("sc10_document_rows", "nation", sql="SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS idx, n_name FROM nation")
 def document_rows(n):
     spark, path = n.sparkSession, scratch(n.sparkSession)
-    rows = n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
-    rows.select(F.to_json(F.struct(F.lit("s").alias("summary"), "rows")).alias("value")).write.text(path)
+    sinks.write_documents(n.select("n_nationkey", "n_name"), path, "n_nationkey", most=10, summary="s")
     return runs.read_document_rows(spark, path, "n_nationkey long, n_name string").select("idx", "n_name")
 
 

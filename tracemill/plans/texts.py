@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions import alignment, answers, copies, expressions, markers, puzzles, strips, text
+from tracemill.functions import tokens as vocabulary
 from tracemill.operators import ordered
 from tracemill.operators.common import spread
 
@@ -63,6 +64,25 @@ def _raw():
 _PREAMBLE_SQL = text.PREAMBLE.replace("(?i)", "").replace(r"\A", "^")
 
 
+@query("t3_u3_vocabulary_tokens", "conversations", sql=None)
+def vocabulary_tokens(c):
+    """Tokens of each conversation by a public vocabulary."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return vocabulary.token_counts(c, ["conv_id"], "text", path, public_tokenizers.PATTERN)
+
+
+@query("t55_vocabulary", "conversations", sql=None)
+def vocabulary_words(c):
+    """All words of the conversations, with the token that stands for each alone."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    words = c.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return vocabulary.resolved(words, "word", path, public_tokenizers.PATTERN)
+
+
 @query("t4_clean_pass1", "documents", sql=f"""WITH a AS (SELECT doc_id, trim(coalesce({_RAW}, ''), {_WS}) AS t FROM documents),
   b AS (SELECT doc_id, t LIKE '```%' AND regexp_matches(t, '^```[a-zA-Z]*\\n.*\\n```$', 's') AS fence, CASE WHEN regexp_matches(t, '^```[a-zA-Z]*\\n.*\\n```$', 's') THEN trim(regexp_extract(t, '^```[a-zA-Z]*\\n(.*?)\\n```$', 1, 's'), {_WS}) ELSE t END AS t FROM a),
   c AS (SELECT doc_id, fence, regexp_matches(t, {quoted(_PREAMBLE_SQL)}, 'i') AS preamble, trim(regexp_replace(t, {quoted(_PREAMBLE_SQL)}, '', 'i'), {_WS}) AS t FROM b)

@@ -5,25 +5,47 @@ All paths are Spark's, so any file system that Spark reads will do.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.operators.common import asserted
+from tracemill.operators.common import asserted, ranked
+
+
+_KEY = re.compile(r"[^'\"\[{][^:]*:(?: |$)|-(?: |$)")
+
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """rows of a file scan with `place`, which rises along each file and from file to file by path."""
+    block = F.col("_metadata.file_block_start").alias("block")
+    return rows.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), block, F.monotonically_increasing_id().alias("row")))
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of files that are one JSON array each, with idx, their place. A file is one task's, as JSON arrays have to be."""
-    kind = T.ArrayType(T.StructType.fromDDL(schema))
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.from_json("value", kind)).alias("idx", "__r")).select("idx", "__r.*")
+
+def read_json_array(spark: SparkSession, path: str, schema: str, by_line: bool = True) -> DataFrame:
+    """Rows of files that are JSON arrays, with idx, their place in all files by path.
+
+    by_line: each element stands on a line, as write_json_array has it; files are split like any text. Otherwise each file
+    is read whole by one task, which arrays of any other layout need.
+    """
+    kind = T.StructType.fromDDL(schema)
+    if not by_line:
+        whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        rows = whole.select("file", F.posexplode(F.from_json("value", T.ArrayType(kind))).alias("at", "__r"))
+        return ranked(rows, [F.col("file"), F.col("at")], "idx").select("idx", "__r.*")
+    lines = with_place(spark.read.text(path)).select("place", F.regexp_replace(F.trim("value"), r"^[\[,]\s*|[\],]\s*$", "").alias("value"))
+    # what is left of an element's closing bracket belongs to it; only the array's own have been taken off
+    rows = lines.filter("value != ''").select("place", F.from_json("value", kind).alias("__r"))
+    return ranked(rows, [F.col("place")], "idx").select("idx", "__r.*")
 
 
 def read_document_rows(spark: SparkSession, path: str, schema: str, field: str = "rows") -> DataFrame:
-    """The rows that one JSON document holds in a field, with idx, their place."""
-    kind = T.StructType([T.StructField(field, T.ArrayType(T.StructType.fromDDL(schema)))])
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d"))
-    return whole.select(F.posexplode(f"d.{field}").alias("idx", "__r")).select("idx", "__r.*")
+    """The rows that JSON documents, one a line, hold in a field, with idx: their place, behind the document's `first`."""
+    kind = T.StructType.fromDDL(f"first long, {field} array<struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in T.StructType.fromDDL(schema))}>>")
+    docs = spark.read.text(path).select(F.from_json("value", kind).alias("d"))
+    rows = docs.select(F.coalesce("d.first", F.lit(0)).alias("first"), F.posexplode(f"d.{field}").alias("at", "__r"))
+    return rows.select((F.col("first") + F.col("at")).alias("idx"), "__r.*")
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: str, corrupt: str | None = None) -> DataFrame:
@@ -43,12 +65,18 @@ def torn_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     return rows.agg(F.count(F.lit(1)).alias("lines"), F.count("__torn").alias("torn"))
 
 
-def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with the same key the last by order; among equals any."""
-    best = F.max_by(F.struct(*rows.columns), F.col(order))
+def last_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of rows with the same key the last by order; `place` as the last of them decides among equals, by file and line."""
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order))
     return rows.groupBy(F.col(key).alias("__key")).agg(best.alias("__r")).select("__r.*")
 
 
+def shard_ranges(rows: DataFrame, index: str) -> DataFrame:
+    """(file, n, first, last): each shard's number of rows, least and greatest index; rows has to be a file scan."""
+    file = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return rows.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("first"), F.max(index).alias("last"))
+
+
 def resumed(spark: SparkSession, path: str, jobs: DataFrame, key: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(done, pending): the good lines of a cache that may be torn, one for each key, and the jobs that it lacks."""
     done = read_json_lines(spark, path, schema).dropDuplicates([key])
@@ -117,27 +145,40 @@ def read_dataset(spark: SparkSession, path: str, columns: dict[str, str]) -> Dat
 
 
 def read_settings(text: str) -> dict:
-    """Nested settings from YAML of maps, lists of plain values, and plain values; on the driver, as settings are small."""
-    root: dict = {}
-    stack: list[tuple[int, dict | list]] = [(-1, root)]
+    """Nested settings from YAML of maps and lists, of plain values or of maps and lists again; settings are small, so on
+    the driver. Anchors, tags, blocks of text and several documents are not read."""
+    lines = []
     for raw in text.splitlines():
         line = raw.split(" #")[0].rstrip()
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        depth, body = len(line) - len(line.lstrip()), line.strip()
-        while stack[-1][0] >= depth:
-            stack.pop()
-        parent = stack[-1][1]
-        if body.startswith("- "):
-            parent["__list"] = [*parent.get("__list", []), _plain(body[2:])]
+        if line.strip() and not line.lstrip().startswith("#"):
+            lines.append((len(line) - len(line.lstrip()), line.strip()))
+    return _node(lines, 0)[0] if lines else {}
+
+
+def _node(lines: list[tuple[int, str]], at: int):
+    """The map or list that begins at a line, and the line behind it; all its entries stand as deep as the first."""
+    depth, out = lines[at][0], [] if lines[at][1].startswith("-") else {}
+    while at < len(lines) and lines[at][0] == depth and lines[at][1].startswith("-") == isinstance(out, list):
+        body = lines[at][1]
+        if isinstance(out, list):
+            rest = body[1:].strip()
+            if not rest or _KEY.match(rest):  # a map or list that may begin on this line
+                inner = depth + len(body) - len(rest) if rest else depth
+                lines[at : at + 1] = [(inner, rest)] if rest else []
+                value, at = _node(lines, at) if at < len(lines) and lines[at][0] > depth else (None, at)
+            else:
+                value, at = _plain(rest), at + 1
+            out.append(value)
             continue
-        name, _, value = body.partition(":")
-        if value.strip():
-            parent[name.strip()] = _plain(value.strip())
+        name, _, rest = body.partition(":")
+        at += 1
+        if rest.strip():
+            out[_plain(name.strip())] = _plain(rest.strip())
+        elif at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("-"))):
+            out[_plain(name.strip())], at = _node(lines, at)
         else:
-            parent[name.strip()] = child = {}
-            stack.append((depth, child))
-    return _lists(root)
+            out[_plain(name.strip())] = None
+    return out, at
 
 
 def _plain(value: str):
@@ -153,10 +194,3 @@ def _plain(value: str):
         except ValueError:
             pass
     return value
-
-
-def _lists(node):
-    if isinstance(node, dict):
-        return node["__list"] if set(node) == {"__list"} else {k: _lists(v) for k, v in node.items()}
-    return node
-

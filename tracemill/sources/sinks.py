@@ -5,7 +5,7 @@ Everything but a report is committed as a whole by Spark, so a lost executor or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import trimmed
@@ -13,14 +13,30 @@ from tracemill.operators.common import ranked
 
 
 def write_json_array(rows: DataFrame, path: str, order: str) -> None:
-    """A folder with one file: a JSON array of the rows by order.
+    """A folder of JSON arrays, `part=<n>` in the order of the rows, each a range of it and an array of its own.
 
-    One file means one task, so this is for reports and small sets; write_json_lines is for large ones.
+    No task holds more than its range, and an element stands on a line, so that read_json_array can split the files.
+    Order has to be without ties. Empty input: an empty folder, which reads as no rows.
     """
-    listed = rows.repartitionByRange(1, order).sortWithinPartitions(order)
-    text = listed.select(F.to_json(F.struct(*rows.columns)).alias("line"), F.monotonically_increasing_id().alias("__i"))
-    whole = text.agg(F.array_sort(F.collect_list(F.struct("__i", "line"))).alias("l"))
-    whole.select(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["line"]), ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    part, at = Window.partitionBy("part"), Window.partitionBy("part").orderBy(order)
+    ranged = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    line = F.concat(
+        F.when(F.row_number().over(at) == 1, "[").otherwise(","),
+        F.to_json(F.struct(*rows.columns)),
+        F.when(F.row_number().over(at) == F.count(F.lit(1)).over(part), "]").otherwise(""),
+    )
+    lines = ranged.select("part", F.col(order).alias("__order"), line.alias("value")).sortWithinPartitions("part", "__order")
+    lines.drop("__order").write.mode("overwrite").partitionBy("part").text(path)
+
+
+def write_documents(rows: DataFrame, path: str, order: str, field: str = "rows", most: int = 1000, **facts: str) -> None:
+    """JSON documents, one a line, of `most` rows by order in a field, beside facts that are the same in all; `first` is
+    the place of the document's first row."""
+    placed = ranked(rows, [F.col(order)], "__rank")
+    own = F.struct("__rank", *rows.columns)
+    docs = placed.groupBy(F.floor(F.col("__rank") / most).alias("__doc")).agg(F.sort_array(F.collect_list(own)).alias(field))
+    listed = F.transform(field, lambda r: F.struct(*[r[c].alias(c) for c in rows.columns])).alias(field)
+    docs.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in facts.items()], (F.col("__doc") * most).alias("first"), listed)).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
