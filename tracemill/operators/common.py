@@ -32,7 +32,8 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it comes in fewer partitions than there are cores, as a table of one row group does."""
+    """df over all cores if it comes in fewer partitions than there are cores, as a table of one row group does. df has to
+    be a scan: behind a shuffle, asking for its partitions would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

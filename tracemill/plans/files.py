@@ -274,12 +274,12 @@ def gates(n):
     """A count that waits for a file that comes late, and one for a file that never comes."""
     spark, root = n.sparkSession, f"/{scratch(n.sparkSession).removeprefix('file:').lstrip('/')}"
     n.limit(0).write.parquet(f"{root}/there")
-    late = threading.Timer(3, lambda: n.limit(0).write.json(f"{root}/late"))
+    late = threading.Timer(1, lambda: n.limit(0).write.json(f"{root}/late"))
     late.start()
     count = lambda: n.agg(F.count(F.lit(1)).alias("nations")).write.parquet(f"{root}/count")
     found = []
-    for gate, url, action, seconds in (("late", f"file://{root}/late/_SUCCESS", count, 60), ("never", f"file://{root}/never", count, 2)):
-        found.append((gate, readiness.when_ready(spark, url, action, f"{root}/state-{gate}", seconds, 0.5)[0]))
+    for gate, url, action, seconds in (("late", f"file://{root}/late/_SUCCESS", count, 60), ("never", f"file://{root}/never", count, 1)):
+        found.append((gate, readiness.when_ready(spark, url, action, f"{root}/state-{gate}", seconds, 0.2)[0]))
     counts = spark.read.parquet(f"{root}/count").withColumn("g", F.lit("late"))
     rows = spark.createDataFrame(found, "gate string, status string")
     return rows.join(counts, F.col("gate") == F.col("g"), "left").select("gate", "status", "nations")
