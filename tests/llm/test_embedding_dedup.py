@@ -75,6 +75,8 @@ def test_awkward_vectors(spark):
     rows += [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (10, [0.0, 5.0]), (None, [3.0, 0.1]), (None, [1.0, 2.0, 3.0]), (11, [1.0, 0.0, 0.0]), (12, [1e-30, 0.0]), (13, [1e38, 1e38]), (14, [1.0, 1.0])]
     check(spark, rows, block=4, part=2)
     check(spark, rows[:6])
+    check(spark, [(5, [1.0, 2.0])])
+    check(spark, [(5, [3.0]), (6, [1.0]), (7, [-1.0])])
     check(spark, [])
 
 

@@ -200,7 +200,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids also ids.
 
-    Null text: as the empty text, no tokens and the digests of nothing. Null doc_id and repeated rows: a row each.
+    Null text: as the empty text, no tokens and the digests of nothing. Null doc_id and repeated rows: a row each. Ties
+    between merges do not arise: no two tokens have one rank, and of one rank's places the leftmost merges first.
     Texts are encoded whole, however long; only doc_id and text are read, so other columns do not matter. Empty
     input: no rows.
     """
@@ -232,6 +233,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, as `encode_documents` defines it, by the public vocabulary TOKENIZER; nulls, ties,
+    repeated rows, long texts and empty tables likewise."""
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)

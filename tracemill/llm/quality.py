@@ -142,6 +142,8 @@ def fit(
 ) -> dict[str, dict[str, float]]:
     """The admitted cutoff of each rule, by stratum, and under REST for the strata of too few labels, null among them.
 
+    risk bounds each rule's false rejections; those of all rules together are bounded by risk times their number.
+
     labels: doc_id, quality (1 good, 0 bad; of several rows for a document the least; null: not labelled). Only strata
     with as many good documents as a bound within the risk needs at the least come to the driver, at most 1 row for
     each rule and cutoff: never more than labels / needed strata.
