@@ -13,13 +13,14 @@ from tracemill.operators.common import ranked
 
 
 def write_json_array(rows: DataFrame, path: str, order: str) -> None:
-    """A folder of JSON arrays, `part=<n>` in the order of the rows, each a range of it and an array of its own.
+    """A folder of JSON arrays, `part=<n>` in the order of the rows, each a range of it and an array of its own; n has
+    leading zeros, as readers go by path.
 
     No task holds more than its range, and an element stands on a line, so that read_json_array can split the files.
     Order has to be without ties. Empty input: an empty folder, which reads as no rows.
     """
     part, at = Window.partitionBy("part"), Window.partitionBy("part").orderBy(order)
-    ranged = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(order).withColumn("part", F.format_string("%010d", F.spark_partition_id()))
     line = F.concat(
         F.when(F.row_number().over(at) == 1, "[").otherwise(","),
         F.to_json(F.struct(*rows.columns)),
