@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from tracemill.plans import catalog as own
 from tracemill.sources import runs, sinks
 
 
@@ -28,3 +29,24 @@ def test_arrays_of_many_parts_keep_their_order(spark, tmp_path):
     assert sorted((r["idx"], r["id"], r["x"]) for r in got) == [(i, i, 7 * i) for i in range(500)]
     pairs = runs.with_sidecar(spark, f"{tmp_path}/a", f"{tmp_path}/b", "id long", "x long").collect()
     assert sorted((r["idx"], r["id"], r["x"]) for r in pairs) == [(i, i, 7 * i) for i in range(500)]
+
+
+def test_decimals_are_rounded_by_the_exact_value(spark, tmp_path):
+    values = [5e-7, 1.5e-6, 2.5e-6, 0.0045125, -5e-7, 0.1, 1e17, *(k / 6e6 for k in range(200))]
+    odd = [(-1, None), (-2, float("inf")), (-3, float("nan"))]
+    sinks.write_csv(spark.createDataFrame([*enumerate(values), *odd], "i long, x double"), f"{tmp_path}/csv", 6)
+    got = {int(r["i"]): r["x"] for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()}
+    assert [got[i] for i in range(len(values))] == [f"{x:.6f}" for x in values]
+    assert [got[i] for i in (-1, -2, -3)] == [None, "Infinity", "NaN"]
+    whole = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double").select(sinks.fixed(F.col("x"), 0).alias("s"))
+    assert [r["s"] for r in whole.collect()] == ["0", "2", "2"]
+
+
+def test_densities_in_csv_equal_sql_where_halves_are_near(spark, tmp_path):
+    import duckdb
+
+    spark.range(200_000).selectExpr("CAST(CASE WHEN id < 3 THEN id * 10 ELSE 250 END AS DOUBLE) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = own.QUERIES["sk6_sk7_csv"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(own.SQL["sk6_sk7_csv"]).fetchall())

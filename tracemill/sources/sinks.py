@@ -81,10 +81,18 @@ def replace_keeping_first(rows: DataFrame, path: str) -> None:
     fs.rename(new, at)
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """A double with so many digits behind the point, rounded by its exact binary value as C's printf does, exact halves to
+    the even digit. format_string rounds the shortest decimal that reads as the double, which can be a half when the
+    double is none. Null stays null."""
+    shown = F.call_function("format_number", value, F.lit("0." + "0" * decimals if decimals else "0"))
+    return F.when(F.abs(value) == float("inf"), value.cast("string")).otherwise(shown)
+
+
 def write_csv(rows: DataFrame, path: str, decimals: int | None = None) -> None:
-    """With a header; decimals: doubles with so many digits behind the point."""
+    """With a header; decimals: doubles with so many digits behind the point. Nulls are empty fields."""
     kinds = dict(rows.dtypes)
-    shown = [F.format_string(f"%.{decimals}f", c).alias(c) if decimals is not None and kinds[c] == "double" else F.col(c) for c in rows.columns]
+    shown = [fixed(F.col(c), decimals).alias(c) if decimals is not None and kinds[c] == "double" else F.col(c) for c in rows.columns]
     rows.select(*shown).write.mode("overwrite").option("header", True).csv(path)
 
 
