@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from tracemill.functions import lexicon
 from tracemill.plans import catalog as own
 from tracemill.sources import runs, sinks
 
@@ -50,3 +51,11 @@ def test_densities_in_csv_equal_sql_where_halves_are_near(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = own.QUERIES["sk6_sk7_csv"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(own.SQL["sk6_sk7_csv"]).fetchall())
+
+
+def test_counts_of_lists_read_arrow_batches(spark):
+    """Arrow's texts one by one, never a batch of Python's or pandas' strings (evaluation type 200)."""
+    df = spark.createDataFrame([("Wait, wait",), (None,), ("",), ("awaits",)], "t string")
+    out = df.select(lexicon.list_counts(F.col("t"), {"wait": [r"\bwait\b"], "a": ["a"]}).alias("c"))
+    assert "ArrowEvalPython" in (plan := out._jdf.queryExecution().toString()) and ", 200" not in plan
+    assert [tuple(r["c"]) for r in out.collect()] == [(2, 2), (0, 0), (0, 0), (0, 2)]
