@@ -4,7 +4,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import lexicon
+from tracemill.functions import lexicon, strips
 from tracemill.plans import catalog as own
 from tracemill.sources import runs, sinks
 
@@ -59,3 +59,18 @@ def test_counts_of_lists_read_arrow_batches(spark):
     out = df.select(lexicon.list_counts(F.col("t"), {"wait": [r"\bwait\b"], "a": ["a"]}).alias("c"))
     assert "ArrowEvalPython" in (plan := out._jdf.queryExecution().toString()) and ", 200" not in plan
     assert [tuple(r["c"]) for r in out.collect()] == [(2, 2), (0, 0), (0, 0), (0, 2)]
+
+
+def test_strips_share_one_lexing_and_come_in_slices(spark):
+    import pyarrow as pa
+
+    sizes = [10, 3, 700, 400, 2_000, 5, 600, 500]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in sizes] + [None])], ["t"])
+    parts = list(lexicon.slices(batch, "t", 1_000))
+    assert [p.num_rows for p in parts] == [4, 1, 3, 1]
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    texts = ["Wait, one. Maybe two, and three.", "", None, "\n, perhaps. " * 300_000, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = {r["i"]: r for r in strips.stripped(df, "t", *strips.EDITS).collect()}
+    for i, t in enumerate(texts):
+        assert [got[i][e] for e in strips.EDITS] == [None if t is None else f(t) for f in strips.EDITS.values()]

@@ -374,11 +374,9 @@ _KEPT = f"trim(array_to_string(list_filter(string_split(regexp_replace(s, '([,;:
 def strips_of_traces(d):
     """Each trace without markers, their clauses and their sentences; mathematics is blanked in what is compared, and
     strings of three dollar signs go before, as the loss of one would pair others."""
-    o = F.replace("output", F.lit("$$$"))
-    edits = {"words": strips.strip_words(o), "clauses": strips.strip_clauses(o), "sentences": strips.strip_sentences(o)}
-    t = traces(d).select("idx", *[c.alias(n) for n, c in edits.items()])
+    t = strips.stripped(traces(d).select("idx", F.replace("output", F.lit("$$$")).alias("o")), "o", *strips.EDITS)
     bare = lambda n: F.regexp_replace(n, "(?s)" + markers.MATH_OR_BOX, "¤")
-    return t.select("idx", *[F.md5(bare(n).cast("binary")).alias(n) for n in edits])
+    return t.select("idx", *[F.md5(bare(n).cast("binary")).alias(n) for n in strips.EDITS])
 
 
 @query("t33_common_prefix", "documents", sql="SELECT doc_id, least(length(text), 10 + doc_id % 90) AS prefix FROM documents WHERE text IS NOT NULL")
