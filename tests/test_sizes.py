@@ -1,10 +1,11 @@
 """What shows only on larger tables than the small ones: many files, many values, large texts."""
 
+import random
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import lexicon, strips
+from tracemill.functions import lexicon, strips, text
 from tracemill.plans import catalog as own
 from tracemill.sources import runs, sinks
 
@@ -74,3 +75,23 @@ def test_strips_share_one_lexing_and_come_in_slices(spark):
     got = {r["i"]: r for r in strips.stripped(df, "t", *strips.EDITS).collect()}
     for i, t in enumerate(texts):
         assert [got[i][e] for e in strips.EDITS] == [None if t is None else f(t) for f in strips.EDITS.values()]
+
+
+def test_loops_are_found_by_sets_without_sorting(spark):
+    def onset(w):
+        for i in range(0, len(w) - 400, 100):
+            if len({tuple(w[k : k + 8]) for k in range(i, i + 393)}) < 0.6 * 393:
+                return i
+
+    draw = random.Random(3)
+    fresh = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    cases = [fresh(n) + fresh(k) * m for n, k, m in ((0, 1, 0), (5, 3, 1), (400, 1, 1), (700, 20, 30), (350, 150, 4), (900, 237, 3), (10, 5, 200), (1_300, 1, 160))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(cases)], "i long, t string")
+    out = df.select("i", text.loop_onset(text.words(F.col("t"))).alias("at"), text.build_output(F.lit("search"), F.col("t"), F.lit("")).alias("o"), text.clean_prefix(F.col("t")).alias("p"), text.repetition_ratio(F.col("t"), 12).alias("r"))
+    assert "sort_array" not in out._jdf.queryExecution().toString()
+    got = {r["i"]: r for r in out.collect()}
+    for i, w in enumerate(cases):
+        assert got[i]["at"] == onset(w)
+        grams = [tuple(w[k : k + 12]) for k in range(len(w) - 11)]
+        assert got[i]["r"] == (len(set(grams)) / len(grams) if len(w) >= 48 else 1)
+        assert got[i]["o"] == (None if not w else " ".join(w) if got[i]["r"] >= 0.6 else got[i]["p"])

@@ -234,6 +234,12 @@ def strip_think(text: Column) -> Column:
     return strip(F.replace(F.replace(text, F.lit("</think>")), F.lit("<think>")))
 
 
+def _wider(h: Column, by: int) -> Column:
+    """Hashes of the windows `by` words wider, from those of windows of at least as many words."""
+    paired = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + by)))  # those at the end lack a second half
+    return F.slice(paired, F.lit(1), F.greatest(F.size(h) - by, F.lit(0)))
+
+
 def _grams(w: Column, n: int) -> Column:
     """A 64-bit hash of each n-word window of an array of words; none if there are fewer words.
 
@@ -242,14 +248,17 @@ def _grams(w: Column, n: int) -> Column:
     if n == 1:
         return F.transform(w, lambda x: F.xxhash64(x))
     half = (n + 1) // 2
-    at = lambda h: F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - (n - half) - 1, F.lit(0))), lambda i: i < F.size(h) - (n - half))
-    return let(_grams(w, half), lambda h: F.transform(at(h), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + n - half))))
+    return let(_grams(w, half), lambda h: _wider(h, n - half))
+
+
+def _share(grams: Column) -> Column:
+    """Distinct values to all."""
+    return let(grams, lambda g: F.try_divide(F.size(F.array_distinct(g)), F.size(g)))
 
 
 def _ratio(w: Column, n: int) -> Column:
     """Distinct n-word windows to all of an array of words, told apart by their hashes; 1 below 4n words."""
-    share = lambda g: F.try_divide(F.size(F.array_distinct(g)), F.size(g))
-    return F.when(F.size(w) < 4 * n, 1.0).otherwise(let(_grams(w, n), share))
+    return F.when(F.size(w) < 4 * n, 1.0).otherwise(_share(_grams(w, n)))
 
 
 def repetition_ratio(text: Column, n: int = 4) -> Column:
@@ -257,43 +266,40 @@ def repetition_ratio(text: Column, n: int = 4) -> Column:
     return let(words(text), lambda w: _ratio(w, n))
 
 
-def _before(values: Column) -> Column:
-    """For each place of an array, the last place before it that holds the same value, -1 if there is none."""
-    placed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-    last = lambda s, x, k: F.when((k > 0) & (F.get(s, k - 1)["v"] == x["v"]), F.get(s, k - 1)["i"]).otherwise(-1)
-    back = let(placed, lambda s: F.sort_array(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), last(s, x, k).alias("before")))))
-    return F.transform(back, lambda x: x["before"])
-
-
 def loop_onset(w: Column, least: float = 0.60, window: int = 400, step: int = 100, n: int = 8) -> Column:
     """Where the first window of an array of words begins that repeats itself: fewer of its n-word windows than `least`
     of all are distinct. Null if there is none. Windows begin every `step` words, the last one before the end.
 
-    A window's distinct values are its places whose value has not occurred since the window began, so one array of previous
-    places serves all windows. Windows behind the first bad one are not looked at.
+    The hashes are made once for all windows; a window's own are put into a set. Windows behind the first bad one are not
+    looked at.
     """
+    return let(_grams(w, n), lambda g: _onset(w, g, least, window, step, n))
+
+
+def _onset(w: Column, g: Column, least: float, window: int, step: int, n: int) -> Column:
     inside = window - n + 1
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - window - 1, F.lit(0)), F.lit(step)), lambda i: i < F.size(w) - window)
-    distinct = lambda p, i: F.size(F.filter(F.slice(p, i + 1, F.lit(inside)), lambda b: b < i))
-    first = lambda p: F.aggregate(starts, F.lit(None).cast("int"), lambda a, i: F.when(a.isNotNull(), a).when(distinct(p, i) < least * inside, i))
-    return let(_before(_grams(w, n)), first)
+    distinct = lambda i: F.size(F.array_distinct(F.slice(g, i + 1, F.lit(inside))))
+    return F.aggregate(starts, F.lit(None).cast("int"), lambda a, i: F.when(a.isNotNull(), a).when(distinct(i) < least * inside, i))
 
 
 def clean_prefix(text: Column, least: float = 0.60, min_words: int = 400, window: int = 400, step: int = 100) -> Column:
     """The text's words up to the first window that repeats itself (8-word windows), cut at the last sentence end if
     that lies in its second half; null with fewer than min_words left, or if the rest repeats itself (12 words)."""
+    return let(words(text), lambda w: _clean(w, loop_onset(w, least, window, step), least, min_words))
+
 
-    def cut(w: Column) -> Column:
-        kept = lambda at: F.when(at >= min_words, F.array_join(F.slice(w, F.lit(1), at), " "))
-        return F.when(F.size(w) >= min_words, let(F.coalesce(loop_onset(w, least, window, step), F.size(w)), kept))
+def _clean(w: Column, onset: Column, least: float = 0.60, min_words: int = 400) -> Column:
+    """clean_prefix of a text's words."""
+    kept = lambda at: F.when(at >= min_words, F.array_join(F.slice(w, F.lit(1), at), " "))
+    cut = F.when(F.size(w) >= min_words, let(F.coalesce(onset, F.size(w)), kept))
 
     def ended(t: Column) -> Column:
         b = F.length(t) - F.length(F.substring_index(t, ". ", -1)) - 1
         kept = F.when(F.contains(t, F.lit(". ")) & (b - 1 > F.length(t) * 0.5), F.left(t, b)).otherwise(t)
         return strip(kept)
 
-    out = let(let(words(text), cut), ended)
-    return let(out, lambda t: F.when(let(words(t), lambda w: _ratio(w, 12)) >= least, t))
+    return let(let(cut, ended), lambda t: F.when(let(words(t), lambda w: _ratio(w, 12)) >= least, t))
 
 
 def build_output(mode: Column, reasoning: Column, content: Column) -> Column:
@@ -303,7 +309,8 @@ def build_output(mode: Column, reasoning: Column, content: Column) -> Column:
 
     def joined(x: Column) -> Column:
         r, c = x["r"], x["c"]
-        alone = F.when(repetition_ratio(r, 12) >= 0.60, r).otherwise(clean_prefix(r))
+        # the windows of 12 words are made of those of 8, which the search for a loop needs
+        alone = let(words(r), lambda w: let(_grams(w, 8), lambda g: F.when(F.size(w) < 48, r).when(_share(_wider(g, 4)) >= 0.60, r).otherwise(_clean(w, _onset(w, g, 0.60, 400, 100, 8)))))
         return F.when(c != "", F.when(r == "", c).otherwise(F.concat(r, F.lit("\n\n"), c))).when(r != "", alone)
 
     return let(both, lambda x: F.when(mode.isin("style", "verbose"), F.nullif(x["c"], F.lit(""))).otherwise(joined(x)))

@@ -318,8 +318,8 @@ def prefixes(d):
     def made(x):
         loop = F.repeat(F.concat(F.lit(" "), F.array_join(F.slice(x, F.greatest(F.size(x) - 19, F.lit(1)), F.lit(20)), " ")), F.lit(30))
         looped = F.concat(F.array_join(x, " "), loop)
-        facts = lambda o: F.struct(F.size(text.words(o)).alias("kept"), F.md5(o.cast("binary")).alias("digest"))
-        return text.let(looped, lambda t: F.struct(F.size(text.words(t)).alias("words"), text.let(text.build_output(F.lit("search"), t, F.lit("")), facts).alias("o")))
+        facts = lambda o: F.struct(text.word_count(o).alias("kept"), F.md5(o.cast("binary")).alias("digest"))
+        return text.let(looped, lambda t: F.struct(text.word_count(t).alias("words"), text.let(text.build_output(F.lit("search"), t, F.lit("")), facts).alias("o")))
 
     some = spread(d).filter(F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]"))
     out = some.select("doc_id", text.let(w, made).alias("x"))
