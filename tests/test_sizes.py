@@ -95,3 +95,27 @@ def test_loops_are_found_by_sets_without_sorting(spark):
         grams = [tuple(w[k : k + 12]) for k in range(len(w) - 11)]
         assert got[i]["r"] == (len(set(grams)) / len(grams) if len(w) >= 48 else 1)
         assert got[i]["o"] == (None if not w else " ".join(w) if got[i]["r"] >= 0.6 else got[i]["p"])
+
+
+def test_half_widths_of_groups_of_any_size(spark, tmp_path):
+    """The query's SQL knows 2 to 5 values a group; here 1 to 60, with points from Student's distribution by integration."""
+    import math
+    from statistics import stdev
+
+    def point(df):
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        total, x, h = 0.0, 0.0, 1e-4
+        while total < 0.475:  # two-sided 95%
+            total += c * h * (1 + (x + h / 2) ** 2 / df) ** (-(df + 1) / 2)
+            x += h
+        return x
+
+    draw = random.Random(5)
+    sizes = {0: 1, 1: 2, 2: 5, 3: 6, 4: 10, 5: 11, 6: 37, 7: 60}
+    values = {g: [round(draw.gauss(50, 20), 2) for _ in range(n)] for g, n in sizes.items()}
+    rows = [(g + 40 * i, v) for g, vs in values.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["grp"]: r["half"] for r in own.QUERIES["st1_t_half_width"](spark, str(tmp_path)).collect()}
+    assert got[0] is None
+    for g, n in list(sizes.items())[1:]:
+        assert abs(got[g] / (point(n - 1) * stdev(values[g]) / math.sqrt(n)) - 1) < 4e-4
