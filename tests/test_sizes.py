@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import lexicon, strips, text
+from tracemill.functions import alignment, lexicon, strips, text
 from tracemill.plans import catalog as own
 from tracemill.sources import runs, sinks
 
@@ -119,3 +119,18 @@ def test_half_widths_of_groups_of_any_size(spark, tmp_path):
     assert got[0] is None
     for g, n in list(sizes.items())[1:]:
         assert abs(got[g] / (point(n - 1) * stdev(values[g]) / math.sqrt(n)) - 1) < 4e-4
+
+
+def test_alignment_works_on_many_texts_at_once(monkeypatch):
+    """Texts that hold all word for word are not in the batch, and batches alter nothing."""
+    made = []
+    batch = alignment._Batch
+    monkeypatch.setattr(alignment, "_Batch", lambda needles, texts, of: made.append(list(texts)) or batch(needles, texts, of))
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 7)))
+    texts = [" ".join(word() for _ in range(draw.randrange(20, 90))) for _ in range(40)]
+    needles = [[t[5:40], t[9:60] if i % 2 else t[9:30] + "xx" + t[33:60]] for i, t in enumerate(texts)]
+    pairs = list(zip(needles, texts))
+    got = alignment.align(pairs, 70.0)
+    assert made == [texts[::2]]
+    assert got == [x for p in pairs for x in alignment.align([p], 70.0)]
